@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
-from .common import table
+from . import decontam, html, langid, mixing, sharding, simhash, topk, toxicity
+from .common import crc_of_id, table
 
 N_SHARDS = 24
 
 
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), scorer)
+    return scored.select("doc_id", (crc_of_id("doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op3_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.learn(docs.where(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", "text"), filters).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,10 +45,18 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_multi_index, op6_feistel_shards, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_noisy_channel_toxicity, op3_bitmask_language, op4_min_cut_text, op5_simhash_multi_index, op6_feistel_shards, op7_tiling_decontamination, op9_impact_ordered_topk, op10_pareto_mix)}
 
 ORACLE_SQL: dict[str, str] = {}
