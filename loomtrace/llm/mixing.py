@@ -5,6 +5,8 @@ words, with the excess dealt again by weight. A target of ``f`` times a source's
 ``floor(f)`` certain whole copies. The rest is a sample: with inclusion probability ``p = f - floor(f)`` a document
 gets the ranking number ``(u / (1 - u)) / (p / (1 - p))`` from a reproducible uniform ``u``, and those of least rank
 are taken. The sample's size is fixed in words: it is the run of least ranks whose words come nearest to what is left.
+As one long document at its end can leave a gap, one document is then added or dropped, that whose words come nearest
+to the gap, if that narrows it.
 
 A source may hold a third of all rows, so no window takes a whole source. Ranks are cut into buckets of about
 ``rows_per_bucket`` rows; sums by bucket place each bucket, and ranks within one bucket settle the rest.
@@ -60,6 +62,7 @@ def mix(docs: DataFrame, seed: str = "mix-1", max_copies: int = 3, weights: tupl
             "doc_id",
             "source",
             *carry,
+            F.monotonically_increasing_id().alias("row"),
             n_words("text").alias("size"),
             uniform(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("u"),
         )
@@ -85,7 +88,15 @@ def mix(docs: DataFrame, seed: str = "mix-1", max_copies: int = 3, weights: tupl
     within = Window.partitionBy("source", "bucket").orderBy("rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = F.col("base") + F.sum("size").over(within)
     extra = F.when((F.col("p") > 0) & (after + after - F.col("size") < 2 * F.col("left")), 1).otherwise(0)
-    return placed.withColumn("copies", (F.col("whole") + extra).cast("int")).select(
+    sampled = cut(placed.withColumn("extra", extra).select("doc_id", "source", *carry, "size", "u", "row", "source_size", "target", "whole", "left", "p", "extra"))
+    gaps = sampled.groupBy("source").agg((F.max("left") - F.sum(F.col("size") * F.col("extra"))).alias("gap")).select(F.col("source").alias("s"), "gap")
+    near = F.abs(F.abs("gap") - F.col("size"))
+    movable = (F.col("p") > 0) & (F.col("extra") == F.when(F.col("gap") > 0, 0).otherwise(1)) & (near < F.abs("gap"))
+    moved = sampled.join(gaps, F.col("source").eqNullSafe(F.col("s"))).where(movable).groupBy("source").agg(F.min(F.struct(near.alias("near"), "u", "doc_id", "row")).alias("best"))
+    moved = moved.select(F.col("best.row").alias("moved_row"))
+    settled = sampled.join(moved, F.col("row") == F.col("moved_row"), "left")
+    flipped = F.when(F.col("moved_row").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra"))
+    return settled.withColumn("copies", (F.col("whole") + flipped).cast("int")).select(
         "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *carry
     )
 

@@ -97,6 +97,13 @@ def links(fps: DataFrame, large: int = LARGE_ENTRY) -> DataFrame:
     return near_small.union(paired).union(starred)
 
 
+def _clusters(marked: DataFrame) -> DataFrame:
+    """``fp, component`` of every distinct fingerprint, ``component`` the least fingerprint reachable."""
+    distinct = cut(marked.select("fp").distinct())
+    found = components(links(distinct))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs`` (``doc_id, text``).
 
@@ -106,9 +113,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     gives no rows. Other columns are not read.
     """
     marked = cut(fingerprints(docs, "doc_id"))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(distinct.select("fp")))
-    member = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    heads = member.groupBy("component").agg(F.min("first").alias("component_id"))
+    member = _clusters(marked)
+    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    heads = member.join(firsts, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
     ids = member.join(heads, "component").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, null last, of repeated ids the first row.
+
+    ``docs`` must be a stored table: rows are told apart by their place in its scan. All columns stay as they are.
+    """
+    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    marked = cut(fingerprints(placed, "doc_id", "__row"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
+    firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    kept = _clusters(marked).join(firsts, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return placed.join(kept, "__row", "left_semi").select(*docs.columns)
