@@ -1,0 +1 @@
+"""A Spark-native engine for event logs, event-sourced state and Petri-net models."""
