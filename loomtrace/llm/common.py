@@ -3,42 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the corpus are runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+from ..sources.scratch import cut, shared_dir
 
-    Where the setting is missing, a temporary folder serves, but only in plain local mode, where the driver and the
-    executors are one process; on a cluster a missing setting is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomtrace-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+__all__ = ["WORD", "crc_of_id", "cut", "n_words", "shared_dir", "spool", "table", "uniform"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, with its lineage cut."""
-    spark = df.sparkSession
-    where = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+#: Words of the corpus are runs of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def spool(df: DataFrame) -> DataFrame:

@@ -50,11 +50,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     for k in range(N):
         packed = (packed << np.uint64(8)) | data[k : k + n]
     packed *= np.uint64(_ODD)
+    packed = (packed ^ (packed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return packed ^ (packed >> np.uint64(32))
 
 
 def _slots(h: np.ndarray, k: int) -> np.ndarray:
-    return ((h * np.uint64(2 * k + 1) + np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    """The slot by hash function ``k``: its own bits of the hash, so that functions are independent."""
+    return ((h >> np.uint64(64 - SLOT_BITS * (k + 1))) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
 @dataclass

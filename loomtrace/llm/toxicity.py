@@ -234,13 +234,32 @@ def words_of(text: str, model: np.ndarray, memo: dict[str, tuple[bytes, ...]]) -
     return out
 
 
+_DOUBLE = re.compile(rb"(.)\1+")
+
+
+def squeezed(word: bytes) -> bytes:
+    """A word with each run of a letter cut to one."""
+    return _DOUBLE.sub(rb"\1", word)
+
+
 @dataclass
 class Scorer:
-    """Weights of words, and the logistic curve over a text's features."""
+    """Weights of words, and the logistic curve over a text's features.
+
+    A restored word that has no weight is looked up once more without doubled letters, which the channel hides.
+    """
 
     model: np.ndarray
     weights: dict[bytes, float] = field(default_factory=dict)
     curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0, 0.0]))
+    plain: dict[bytes, bytes] = field(default_factory=dict)
+
+    def restored(self, words: tuple[bytes, ...] | list[bytes]) -> list[tuple[bytes, float]]:
+        """Restored words that have a weight."""
+        if not self.plain:
+            self.plain = {squeezed(w): w for w in sorted(self.weights, key=lambda w: (self.weights[w], w))}
+        known = (w if w in self.weights else self.plain.get(squeezed(w)) for w in words)
+        return [(w, self.weights[w]) for w in known if w is not None]
 
     @staticmethod
     def features(weights: list[float]) -> tuple[float, float, float]:
@@ -265,15 +284,13 @@ class Scorer:
         for t in tokens:
             hit = memo.get(t)
             if hit is None:
-                ws = folded(t)
+                hit = [(w, self.weights[w]) for w in folded(t) if w in self.weights]
                 if part := suspicious(t):
-                    ws = [*ws, *restore(part, self.model)]
-                hit = memo[t] = tuple((w, self.weights[w]) for w in ws if w in self.weights)
+                    hit += self.restored(restore(part, self.model))
+                hit = memo[t] = tuple(hit)
             if hit:
                 found.update(hit)
-        for w in hidden_words(text, tokens, self.model, spaced):
-            if w in self.weights:
-                found[w] = self.weights[w]
+        found.update(self.restored(list(hidden_words(text, tokens, self.model, spaced))))
         return self.probability(list(found.values()))
 
 
