@@ -5,7 +5,10 @@ Events have ``id, stream_id, type, version, timestamp, data`` (JSON) and ``metad
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -229,3 +232,51 @@ def replay_guarded(events: DataFrame, transitions: Sequence[tuple[str, dict[str,
 
     out = folded.withColumn("r", F.aggregate("steps", start, step))
     return out.select("stream_id", "version", F.map_from_arrays(F.array(*[F.lit(p) for p in names]), F.col("r.m")).alias("state"), F.col("r.fired").alias("fired"), F.col("r.refused").alias("refused"))
+
+
+@dataclass
+class Aggregate:
+    """One stream's state on the driver: handlers by event type fold its events."""
+
+    id: str
+    state: Any
+    handlers: dict[str, Callable[[Any, dict], Any]] = field(default_factory=dict)
+    version: int = -1
+
+    def on(self, type: str, handler: Callable[[Any, dict], Any]) -> Aggregate:
+        self.handlers[type] = handler
+        return self
+
+    def apply(self, type: str, data: dict, version: int) -> None:
+        """Events of a type without a handler only count."""
+        if type in self.handlers:
+            self.state = self.handlers[type](self.state, data)
+        self.version = version
+
+
+class Repository:
+    """Aggregates of a store: loaded by replay, saved by appending at the version that was loaded."""
+
+    def __init__(self, store: EventStore, make: Callable[[str], Aggregate]):
+        self.store, self.make = store, make
+
+    def load(self, id: str) -> Aggregate:
+        out = self.make(id)
+        for r in read_stream(self.store.events(), id).select("type", "data", "version").collect():  # one stream
+            out.apply(r.type, json.loads(r.data or "{}"), r.version)
+        return out
+
+    def save(self, aggregate: Aggregate, new: Sequence[tuple[str, dict]], timestamp: str) -> int:
+        rows = [(t, i, json.dumps(d)) for i, (t, d) in enumerate(new)]
+        df = self.store.spark.createDataFrame(rows, "type string, seq long, data string").withColumn("timestamp", F.lit(timestamp).cast("timestamp")).withColumn("metadata", F.lit(None).cast("map<string,string>"))
+        if aggregate.version < 0 and stream_version(self.store.events(), aggregate.id) >= 0:
+            raise ConcurrencyConflict(f"{aggregate.id} exists")
+        for i, (t, d) in enumerate(new, aggregate.version + 1):
+            aggregate.apply(t, d, i)
+        return self.store.append(aggregate.id, aggregate.version - len(new), df)
+
+    def execute(self, id: str, command: Callable[[Any], Sequence[tuple[str, dict]]], timestamp: str) -> Aggregate:
+        """Load, ask the command for events, and save them."""
+        aggregate = self.load(id)
+        self.save(aggregate, command(aggregate.state), timestamp)
+        return aggregate

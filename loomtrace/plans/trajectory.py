@@ -135,3 +135,12 @@ def compare(base: DataFrame, variant: DataFrame) -> DataFrame:
     both = end(base, "base").join(end(variant, "variant"), "place", "full")
     d = F.coalesce("variant", F.lit(0.0)) - F.coalesce("base", F.lit(0.0))
     return both.withColumn("difference", d).withColumn("percent", F.when(F.col("base") != 0, d / F.col("base") * 100))
+
+
+def compare_runs(series: DataFrame, base: int, variant: int) -> DataFrame:
+    """``measure, base, variant, difference`` of two runs' highest peak, its time, the time of rest and the total drift."""
+    m = metrics(series).join(conservation(series).select("run_id", (F.col("final") - F.col("initial")).alias("drift")), "run_id")
+    names = ("max_peak", "max_peak_t", "steady_t", "drift")
+    long = m.select("run_id", F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("run_id", "x.*")
+    side = lambda run, name: long.where(F.col("run_id") == run).select("measure", F.col("value").alias(name))
+    return side(base, "base").join(side(variant, "variant"), "measure", "full").withColumn("difference", F.col("variant") - F.col("base"))

@@ -171,6 +171,29 @@ def test_event_store(spark, tmp_path):
     assert {r.stream_id for r in store.events().collect()} == {"other"}
 
 
+def test_repository(spark, tmp_path):
+    store = events.EventStore(spark, str(tmp_path / "store"))
+    repo = events.Repository(store, lambda id: events.Aggregate(id, 0).on("add", lambda s, d: s + d["n"]))
+    assert repo.execute("s", lambda s: [("add", {"n": 2}), ("note", {})], "2024-01-01").state == 2
+    stale = repo.load("s")
+    assert (stale.state, stale.version) == (2, 1)
+    assert repo.execute("s", lambda s: [("add", {"n": s})], "2024-01-02").state == 4
+    with pytest.raises(events.ConcurrencyConflict):
+        repo.save(stale, [("add", {"n": 1})], "2024-01-03")
+
+
+def test_remembered_states(spark):
+    from loomtrace.plans import cache, trajectory
+
+    e = cache.RememberedEvaluator(decay(), {"t": 0.1}, most=1)
+    assert e.evaluate({"A": 5.0}, lambda s: s["A"]) == e.evaluate({"A": 5.0}, lambda s: s["A"])
+    e.simulate({"A": 6.0})
+    assert (e.memory.stats.hits, e.memory.stats.misses, e.memory.stats.size) == (1, 2, 1)
+    rows = [(r, i, float(i), "A", float(v)) for r, vs in enumerate(([1, 3, 1, 1, 1], [1, 5, 1, 1, 2])) for i, v in enumerate(vs)]
+    out = {r.measure: r.difference for r in trajectory.compare_runs(spark.createDataFrame(rows, "run_id long, step int, t double, place string, value double"), 0, 1).collect()}
+    assert out["max_peak"] == 2.0 and out["drift"] == 1.0
+
+
 def test_graphql(spark):
     net = Net().place("open", 1).place("closed").transition("close").flow("open", "close", "closed")
     held = []
