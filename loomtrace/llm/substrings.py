@@ -8,7 +8,8 @@ come first.
   equal places, so a string can only repeat if its anchor's hash does. Hashes alone are compared first.
 * The piece about a repeated anchor, all bytes of strings that it can anchor, is compared next by a 128-bit hash. Of
   pieces that are equal, all but the earliest are removed whole: each of their strings is in the earliest, too.
-* Pieces that differ although their anchors are equal are all that is left to sort. They go to shards by anchor.
+* Pieces that differ although their anchors are equal are all that is left to sort. They go to shards by anchor, where
+  a piece that shares no long string at any of a few places about its anchor is left out.
 
 A shard sorts the suffixes of its pieces by induced sorting, computes permuted common prefixes and finds the classes of
 equal strings; all but the earliest string of a class go. An anchor with very many different pieces is dealt over
@@ -336,16 +337,42 @@ def judge_chunk(docs: pa.Table, replies: pa.Table, k: int, n: int, shards: int)
     for s, i in _by_bucket(shard, shards):
         e = o[at[i]]
         raw = b"".join(a.data[x:y].tobytes() for x, y in zip(a.left[e].tolist(), a.right[e].tolist(), strict=True))
-        about = np.stack((a.right[e] - a.left[e], np.full(e.size, c.chunk), c.rows[a.row[e]], c.docs[a.row[e]], a.left[e] - a.start[a.row[e]], (ways[i] > 1).astype(np.int64)))
+        about = np.stack((a.right[e] - a.left[e], np.full(e.size, c.chunk), c.rows[a.row[e]], c.docs[a.row[e]], a.left[e] - a.start[a.row[e]], (ways[i] > 1).astype(np.int64), a.place[e] + a.start[a.row[e]] - a.left[e]))
         out.append((_PIECE, s, c.chunk, raw, _bytes(about.astype(np.int64)), None, None, None, None))
     return _table(out, _FOUND)
 
 
+def _alike(joined: np.ndarray, length: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
+    """Which pieces share with another a long string at one of a few places about their anchors.
+
+    A string of ``k`` bytes that an anchor stands for begins at most ``k - k // 3`` bytes before it. With places every
+    ``step`` bytes, it holds a string of ``k - step + 1`` bytes that begins at one of them. A piece that shares none of
+    these shares no string of ``k`` bytes.
+    """
+    reach = k - max(1, k // 3)
+    step = max(1, reach // 4)
+    width = k - step + 1
+    begin = np.cumsum(length) - length
+    keep = np.zeros(length.size, bool)
+    values = _BYTE[joined]
+    sums = _sums(values, _M1)
+    for back in range(0, reach + 1, step):
+        fits = np.flatnonzero((anchor >= back) & (anchor - back + width <= length))
+        at = begin[fits] + anchor[fits] - back
+        _, inverse, counts = np.unique(_run_hash(sums, _M1, at, at + width), return_inverse=True, return_counts=True)
+        keep[fits[counts[inverse] > 1]] = True
+    return keep
+
+
 def sort_shard(sent: pa.Table, k: int) -> pa.Table:
     """Step 4, for a shard: marks of strings that come earlier in it; heads of classes to compare with other shards."""
-    about = np.concatenate([np.frombuffer(x, np.int64).reshape(6, -1) for x in sent.column("b").to_pylist()], axis=1)
+    about = np.concatenate([np.frombuffer(x, np.int64).reshape(7, -1) for x in sent.column("b").to_pylist()], axis=1)
     joined = np.frombuffer(b"".join(sent.column("a").to_pylist()), np.uint8)
-    length, chunk, row, doc, left, hot = about
+    kept = _alike(joined, about[0], about[6], k) | (about[5] > 0)
+    joined = joined[np.repeat(kept, about[0])]
+    length, chunk, row, doc, left, hot, _ = about[:, kept]
+    if not length.size:
+        return _table([], _FOUND)
     starts = np.cumsum(length + 1) - (length + 1)
     raw = np.zeros(int(length.sum()) + length.size + 16, np.uint8)
     raw[np.arange(joined.size) + np.repeat(np.arange(length.size), length)] = joined

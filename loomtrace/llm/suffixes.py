@@ -13,11 +13,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def _counted(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _counted(c: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each value how many equal ones come before it; the distinct values and their counts."""
     if c.size == 1:
         return np.zeros(1, np.int64), c, np.ones(1, np.int64)
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c.astype(np.uint16) if sigma <= 1 << 16 else c, kind="stable")  # short keys sort by radix
     sorted_ = c[order]
     starts = np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1))
     counts = np.diff(np.concatenate((starts, [c.size])))
@@ -83,7 +83,7 @@ class _Sorter:
             j = j[j >= 0]
             j = j[~smaller[j]]
             if j.size:
-                before, values, counts = _counted(t[j])
+                before, values, counts = _counted(t[j], self.sigma)
                 a[head[t[j]] + before] = j
                 head[values] += counts
             p = q
@@ -100,7 +100,7 @@ class _Sorter:
             j = j[j >= 0]
             j = j[smaller[j]]
             if j.size:
-                before, values, counts = _counted(t[j])
+                before, values, counts = _counted(t[j], self.sigma)
                 f[tail[t[j]] - 1 - before] = j
                 tail[values] -= counts
             p = q
@@ -130,7 +130,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     if t.size < 3:
         return np.arange(t.size)[::-1].copy()
     s = _Sorter(t.astype(np.int64), sigma)
-    order = s.induce(s.lms[np.argsort(s.t[s.lms], kind="stable")])
+    order = s.induce(s.lms[np.argsort(s.t[s.lms].astype(np.uint16) if sigma <= 1 << 16 else s.t[s.lms], kind="stable")])
     order = order[s.is_lms[order]]
     names = s.names(order)
     if names.max() + 1 < names.size:
