@@ -29,6 +29,7 @@ N = 5
 SLOT_BITS = 21
 HASHES = 2
 MAX_LANGUAGES = 64
+_PIECE = 1 << 18
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _ODD = 0x9E3779B97F4A7C15
@@ -75,14 +76,15 @@ class Filters:
 
     def shares(self, text: str) -> np.ndarray:
         """By language, the corrected share of a text's n-grams that its filter contains."""
-        h = gram_hashes(np.frombuffer(folded(text), np.uint8))
+        data = np.frombuffer(folded(text), np.uint8)
+        size = max(data.size - N + 1, 0)
         counts = np.zeros(len(self.languages))
-        for at in range(0, h.size, 1 << 20):  # a very long text is counted piece by piece
-            masks = self.masks(h[at : at + (1 << 20)])
+        for at in range(0, size, _PIECE):  # a very long text is counted piece by piece
+            masks = self.masks(gram_hashes(data[at : at + _PIECE + N - 1]))
             for i in range(len(self.languages)):
                 counts[i] += np.count_nonzero(masks & np.uint64(1 << i))
-        corrected = (counts - h.size * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9)
-        return np.clip(corrected / max(h.size, 1), 0, 1)
+        corrected = (counts - size * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9)
+        return np.clip(corrected / max(size, 1), 0, 1)
 
 
 def build(usual: dict[str, np.ndarray]) -> Filters:

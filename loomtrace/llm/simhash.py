@@ -12,6 +12,7 @@ the other segment meet, so every point of those balls links its fingerprints to
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,29 +26,51 @@ from .components import components
 
 SEED = 42
 SHINGLE = 3
+#: Bytes of a text that are read at once, about.
+BLOCK = 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: A table entry of more fingerprints than this is linked by ball points rather than by pairs.
 LARGE_ENTRY = 64
 
 
-def fingerprint(text: str | None) -> int:
-    """The unsigned 64-bit fingerprint of a text; 0 for null and for a text without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return 0
+def _blocks(data: bytes) -> Iterator[bytes]:
+    """Stretches of a long text, cut at white space."""
+    at = 0
+    while at < len(data):
+        cut_at = _SPACE.search(data, at + BLOCK)
+        end = cut_at.start() if cut_at else len(data)
+        yield data[at:end]
+        at = end
+
+
+def _bit_counts(words: list[bytes]) -> tuple[np.ndarray, int]:
+    """How many shingles of a run of words set each bit, and the number of shingles."""
+    n = len(words) - SHINGLE + 1
     joined = b" ".join(words)
-    n = len(words)
-    if n <= SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[: n - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)]
-    every = np.array(hashes, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64)
     counts = np.zeros(64, np.int64)
-    for at in range(0, every.size, 1 << 16):  # a very long text is counted piece by piece
-        counts += np.unpackbits(every[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > every.size, bitorder="little").view(np.uint64)[0])
+    for at in range(0, n, 1 << 16):
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return counts, n
+
+
+def fingerprint(text: str | None) -> int:
+    """The unsigned 64-bit fingerprint of a text; 0 for null and for a text without words. A very long text is read
+    stretch by stretch."""
+    data = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    words: list[bytes] = []
+    counts, n = np.zeros(64, np.int64), 0
+    for block in _blocks(data):
+        words += block.split()
+        if len(words) >= SHINGLE:
+            more, k = _bit_counts(words)
+            counts, n, words = counts + more, n + k, words[1 - SHINGLE :]
+    if n == 0:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:

@@ -90,6 +90,16 @@ def test_links_of_near_fingerprints(spark):
         assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
 
 
+def test_fingerprint_of_long_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choices("aB \t\n", k=3000))
+    want = plain_fingerprint(text)
+    for block in (1, 7, 100, 1 << 22):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert simhash.fingerprint(text) == want
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_one_of_each(spark, tmp_path):
     spark.createDataFrame([(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "other words here now")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     assert sorted(r.doc_id for r in simhash.one_of_each(spark.read.parquet(str(tmp_path / "d"))).collect()) == [1, 2]
