@@ -9,7 +9,7 @@ come first.
 * The piece about a repeated anchor, all bytes of strings that it can anchor, is compared next by a 128-bit hash. Of
   pieces that are equal, all but the earliest are removed whole: each of their strings is in the earliest, too.
 * Pieces that differ although their anchors are equal are all that is left to sort. They go to shards by anchor, where
-  a piece that shares no long string at any of a few places about its anchor is left out.
+  only the part of a piece that shares a long string at one of a few places about its anchor is kept.
 
 A shard sorts the suffixes of its pieces by induced sorting, computes permuted common prefixes and finds the classes of
 equal strings; all but the earliest string of a class go. An anchor with very many different pieces is dealt over
@@ -37,6 +37,8 @@ K = 100
 CHUNK_BYTES = 8 << 20
 #: Different pieces of one anchor in one shard, about.
 PIECES_PER_SHARD = 4096
+#: Bytes of pieces whose suffixes are sorted at once, about.
+SORT_BYTES = 3 << 20
 _LAST = (1 << 63) - 1
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -337,48 +339,68 @@ def judge_chunk(docs: pa.Table, replies: pa.Table, k: int, n: int, shards: int)
     for s, i in _by_bucket(shard, shards):
         e = o[at[i]]
         raw = b"".join(a.data[x:y].tobytes() for x, y in zip(a.left[e].tolist(), a.right[e].tolist(), strict=True))
-        about = np.stack((a.right[e] - a.left[e], np.full(e.size, c.chunk), c.rows[a.row[e]], c.docs[a.row[e]], a.left[e] - a.start[a.row[e]], (ways[i] > 1).astype(np.int64), a.place[e] + a.start[a.row[e]] - a.left[e]))
+        about = np.stack((a.right[e] - a.left[e], np.full(e.size, c.chunk), c.rows[a.row[e]], c.docs[a.row[e]], a.left[e] - a.start[a.row[e]], (ways[i] > 1).astype(np.int64), a.place[e] + a.start[a.row[e]] - a.left[e], h[i].view(np.int64)))
         out.append((_PIECE, s, c.chunk, raw, _bytes(about.astype(np.int64)), None, None, None, None))
     return _table(out, _FOUND)
 
 
-def _alike(joined: np.ndarray, length: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
-    """Which pieces share with another a long string at one of a few places about their anchors.
+def _shared_parts(joined: np.ndarray, length: np.ndarray, anchor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each piece, from and to, that can share strings of ``k`` bytes with another piece.
 
     A string of ``k`` bytes that an anchor stands for begins at most ``k - k // 3`` bytes before it. With places every
     ``step`` bytes, it holds a string of ``k - step + 1`` bytes that begins at one of them. A piece that shares none of
-    these shares no string of ``k`` bytes.
+    these has no such part; else the part spans the strings about the places that it shares.
     """
     reach = k - max(1, k // 3)
     step = max(1, reach // 4)
     width = k - step + 1
     begin = np.cumsum(length) - length
-    keep = np.zeros(length.size, bool)
-    values = _BYTE[joined]
-    sums = _sums(values, _M1)
+    low, high = length.copy(), np.zeros(length.size, np.int64)
+    sums = _sums(_BYTE[joined], _M1)
     for back in range(0, reach + 1, step):
         fits = np.flatnonzero((anchor >= back) & (anchor - back + width <= length))
         at = begin[fits] + anchor[fits] - back
         _, inverse, counts = np.unique(_run_hash(sums, _M1, at, at + width), return_inverse=True, return_counts=True)
-        keep[fits[counts[inverse] > 1]] = True
-    return keep
+        shared = fits[counts[inverse] > 1]
+        low[shared] = np.minimum(low[shared], np.maximum(anchor[shared] - back - step + 1, 0))
+        high[shared] = np.maximum(high[shared], np.minimum(anchor[shared] - back + k, length[shared]))
+    return low, high
 
 
-def sort_shard(sent: pa.Table, k: int) -> pa.Table:
-    """Step 4, for a shard: marks of strings that come earlier in it; heads of classes to compare with other shards."""
-    about = np.concatenate([np.frombuffer(x, np.int64).reshape(7, -1) for x in sent.column("b").to_pylist()], axis=1)
+def sort_shard(sent: pa.Table, k: int, most_bytes: int = SORT_BYTES) -> pa.Table:
+    """Step 4, for a shard: marks of strings that come earlier in it; heads of classes to compare with other shards.
+
+    A shard of more than ``most_bytes`` is sorted in parts by anchor, as pieces of different anchors need not meet.
+    """
+    about = np.concatenate([np.frombuffer(x, np.int64).reshape(8, -1) for x in sent.column("b").to_pylist()], axis=1)
     joined = np.frombuffer(b"".join(sent.column("a").to_pylist()), np.uint8)
-    kept = _alike(joined, about[0], about[6], k) | (about[5] > 0)
-    joined = joined[np.repeat(kept, about[0])]
-    length, chunk, row, doc, left, hot, _ = about[:, kept]
-    if not length.size:
-        return _table([], _FOUND)
+    begin = np.cumsum(about[0]) - about[0]
+    out: list[tuple] = []
+    parts = max(1, -(-joined.size // most_bytes))
+    for _, i in _by_bucket(((about[7].view(np.uint64) >> np.uint64(7)) % np.uint64(parts)).astype(np.int64), parts):
+        length = about[0, i]
+        whole = joined[np.arange(int(length.sum())) + np.repeat(begin[i] - (np.cumsum(length) - length), length)]
+        low, high = _shared_parts(whole, length, about[6, i], k)
+        hot = about[5, i] > 0
+        low, high = np.where(hot, 0, low), np.where(hot, length, high)
+        kept = np.flatnonzero(high - low >= k)
+        if kept.size:
+            size = (high - low)[kept]
+            source = (np.cumsum(length) - length + low)[kept]
+            cut = whole[np.arange(int(size.sum())) + np.repeat(source - (np.cumsum(size) - size), size)]
+            out += _sort_pieces(cut, size, about[1:4, i[kept]], about[4, i[kept]] + low[kept], hot[kept], k)
+    return _table(out, _FOUND)
+
+
+def _sort_pieces(joined: np.ndarray, length: np.ndarray, owner: np.ndarray, left: np.ndarray, hot: np.ndarray, k: int) -> list[tuple]:
+    """Marks and heads of pieces, ``owner`` being their chunks, rows and documents, ``left`` their places in these."""
+    chunk, row, doc = owner
     starts = np.cumsum(length + 1) - (length + 1)
     raw = np.zeros(int(length.sum()) + length.size + 16, np.uint8)
     raw[np.arange(joined.size) + np.repeat(np.arange(length.size), length)] = joined
     places, classes = repeated_windows(raw, starts, length, k)
     if not places.size:
-        return _table([], _FOUND)
+        return []
     piece = np.searchsorted(starts, places, "right") - 1
     place = left[piece] + places - starts[piece]
     order = np.lexsort((place, doc[piece]))
@@ -395,7 +417,7 @@ def sort_shard(sent: pa.Table, k: int) -> pa.Table:
     for ch in np.unique(where).tolist():
         i = m[where == ch]
         out += [(_MARK, ch, r, _bytes(x), None, None, None, None, None) for r, x in _merged(row[piece[i]], place[i], place[i] + k)]
-    hot_class = np.logical_or.reduceat(hot[piece] > 0, heads)
+    hot_class = np.logical_or.reduceat(hot[piece], heads)
     if hot_class.any():
         firsts = np.flatnonzero(hot_class[classes] & ~again)  # several, where one place is in several pieces
         keep = np.unique(np.stack((classes[firsts], chunk[piece[firsts]], row[piece[firsts]])), axis=1, return_index=True)[1]
@@ -403,7 +425,7 @@ def sort_shard(sent: pa.Table, k: int) -> pa.Table:
         values = _BYTE[raw]
         f1, f2 = (_splitmix(_run_hash(_sums(values, m_), m_, places[firsts], places[firsts] + k)).view(np.int64) for m_ in (_M1, _M2))
         out += [(_HEAD, int(ch), int(r), None, None, int(x), int(y), int(dk), int(pl)) for ch, r, x, y, dk, pl in zip(chunk[piece[firsts]], row[piece[firsts]], f1, f2, doc[piece[firsts]], place[firsts], strict=True)]
-    return _table(out, _FOUND)
+    return out
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -479,7 +501,7 @@ def deduplicate(docs: DataFrame, k: int = K, chunk_bytes: int = CHUNK_BYTES, pie
         return compare_pieces(t, pieces_per_shard)
 
     replies2 = spool(chunks.cogroup(replies1.groupBy("chunk")).applyInArrow(step2, _PACKED_SQL).groupBy("kind", "bucket").applyInArrow(compare, _PACKED_SQL))
-    shards = 4 * n
+    shards = n
 
     def step3(t: pa.Table, r: pa.Table) -> pa.Table:
         return judge_chunk(t, r, k, n, shards)

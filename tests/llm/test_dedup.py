@@ -144,8 +144,9 @@ def brute_substrings(rows, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("k", "per_shard"), [(100, 4096), (24, 3)])
-def test_substrings(spark, k, per_shard):
+@pytest.mark.parametrize(("k", "per_shard", "most"), [(100, 4096, 1 << 20), (24, 3, 2000), (40, 4096, 500)])
+def test_substrings(spark, monkeypatch, k, per_shard, most):
+    monkeypatch.setattr(substrings.sort_shard, "__defaults__", (most,))
     rng = random.Random(k)
     words = ["".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(60)]
     passages = [" ".join(rng.choices(words, k=rng.randint(10, 60))) for _ in range(8)]
