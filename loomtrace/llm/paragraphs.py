@@ -1,9 +1,10 @@
 """Removal of repeated paragraphs by MinHash banding.
 
-A paragraph is a line of at least ``MIN_WORDS`` words. A line of more than ``LONG_WORDS`` words is cut at sentence ends
-that its words alone decide, so that a passage repeated inside longer text is met: a sentence of at least ``MIN_WORDS``
-words is a paragraph of its own, and shorter ones between are joined until the hash of one ends them, on average every
-16 words. Words are parted by ASCII white space and compared in lower case; shingles are runs of five words.
+A paragraph is a line of at least ``MIN_WORDS`` words, the least that give a shingle. Runs of shorter lines are joined
+until the hash of one ends them. A line of more than ``LONG_WORDS`` words is cut at sentence ends that its words alone
+decide, so that a passage repeated inside longer text is met: a sentence of at least ``JOIN_WORDS`` words is a paragraph
+of its own, and shorter ones between are joined until the hash of one ends them, on average every 16 words. Words are
+parted by ASCII white space and compared in lower case; shingles are runs of five words.
 
 Bands of ``ROWS`` MinHash values collide for paragraphs alike. With a Jaccard similarity of 0.8, seven bands of two rows
 miss a pair once in 1,300. Band hashes alone are compared first, so that only paragraphs with a collision are sent on.
@@ -33,7 +34,9 @@ from .substrings import _PACKED, _PACKED_SQL, CHUNK_BYTES, _by_bucket, _bytes, _
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 7, 2
-MIN_WORDS, LONG_WORDS = 10, 40
+MIN_WORDS, LONG_WORDS = SHINGLE, 40
+#: Sentences of a long line with fewer words are joined.
+JOIN_WORDS = 10
 #: Different paragraphs under one band hash that are joined directly; more are joined in blocks of this many.
 DIRECT = 64
 BLOCK = 512
@@ -46,31 +49,60 @@ _FIELDS_SQL = "uid string, doc_id long, row long, paragraph int, part int, n_wor
 
 def paragraphs(text: str | None, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int, list[bytes]]]:
     """(line, sentence, words) of each paragraph of a whole text, lines and sentences counted from 0."""
-    out = []
-    for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
+    return [(line, part, ws) for line, part, _, ws in _placed(_lines(text), min_words, long_words)]
+
+
+def _lines(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
+
+
+def _ends(ws: list[bytes]) -> bool:
+    """Whether joining ends after these words, by their hash alone."""
+    return xxhash.xxh32_intdigest(b" ".join(ws)) % 16 < len(ws)
+
+
+def _placed(lines: list[bytes], min_words: int, long_words: int) -> list[tuple[int, int, int, list[bytes]]]:
+    """Paragraphs as (line, sentence, words before, words)."""
+    out: list[tuple[int, int, int, list[bytes]]] = []
+    joined: list[bytes] = []
+    place = (0, 0, 0)
+    at = 0
+
+    def end() -> None:
+        nonlocal joined
+        if len(joined) >= min_words:
+            out.append((*place, joined))
+        joined = []
+
+    def join(ws: list[bytes], *here: int) -> None:
+        nonlocal joined, place
+        place = place if joined else here
+        joined = joined + ws
+        if len(joined) >= min_words and _ends(ws):
+            end()
+
+    for i, line in enumerate(lines):
         ws = line.split()
         if len(ws) < min_words:
-            continue
-        if len(ws) <= long_words:
-            out.append((i, 0, ws))
-            continue
-        joined: list[bytes] = []
-        first = 0
-        for k, sentence in enumerate([*_SENTENCE.split(line), b""]):
-            s = sentence.split()
-            if joined and (len(s) >= min_words or not s):
-                if len(joined) >= min_words:
-                    out.append((i, first, joined))
-                joined = []
-            if len(s) >= min_words:
-                out.append((i, k, s))
-            elif s:
-                first = first if joined else k
-                joined = joined + s
-                if xxhash.xxh32_intdigest(b" ".join(s)) % 16 < len(s):
-                    if len(joined) >= min_words:
-                        out.append((i, first, joined))
-                    joined = []
+            if ws:
+                join(ws, i, 0, at)
+        elif len(ws) <= long_words:
+            end()
+            out.append((i, 0, at, ws))
+        else:
+            end()
+            before = at
+            for k, sentence in enumerate(_SENTENCE.split(line)):
+                s = sentence.split()
+                if len(s) >= JOIN_WORDS:
+                    end()
+                    out.append((i, k, before, s))
+                elif s:
+                    join(s, i, k, before)
+                before += len(s)
+            end()
+        at += len(ws)
+    end()
     return out
 
 
@@ -208,8 +240,8 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WO
     of a long line), ``n_words, cluster, first_doc_id`` and ``removed``, false for the first occurrence of a cluster in
     the order of doc_id, row and place. Documents without such a paragraph have no row.
 
-    Paragraphs of fewer than ``min_words`` words are formulas rather than passages and are not compared. Null and empty
-    texts have no paragraph; repeated rows are documents of their own; null ids come last; an empty table gives no rows.
+    A joined paragraph has the place of its first line or sentence. Fewer than ``min_words`` words have no shingle and make
+    no paragraph: null and empty texts have none; repeated rows are documents of their own; null ids come last; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -223,3 +223,20 @@ def test_paragraphs(spark, monkeypatch):
         got = paragraphs.repeated(docs, chunk_bytes=9000).collect()
         assert {(r.doc_id, r.paragraph, r.part, r.first_doc_id, r.removed) for r in got} == want
     assert paragraphs.repeated(docs.limit(0)).count() == 0
+
+
+def test_short_lines_are_compared(spark):
+    """Lines of five to nine words, and passages wrapped at fewer than five words a line."""
+    poem = "\n".join(f"p{i} q{i} r{i}" for i in range(20))
+    rows = [(1, "one line of five words\nown words of this document only"), (2, "other words that stand before here\nOne line of five words"), (3, f"a b c d e f\n{poem}"), (4, f"{poem}\ng h i j k l")]
+    got = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.paragraph, r.removed) for r in got if r.doc_id < 3 and r.part >= 0} == {(1, 0, False), (2, 1, True)}
+    assert any(r.doc_id == 4 and r.removed and r.first_doc_id == 3 for r in got)
+
+
+def test_short_sentences_make_paragraphs():
+    """No joined sentences of a long line are lost when a hash ends them."""
+    rng = random.Random(12)
+    for _ in range(50):
+        line = " ".join(" ".join(f"w{rng.randrange(999)}" for _ in range(rng.randint(5, 9))) + "." for _ in range(12))
+        assert [w for _, _, ws in paragraphs.paragraphs(line) for w in ws] == line.encode().split()
