@@ -6,6 +6,11 @@ decide, so that a passage repeated inside longer text is met: a sentence of at l
 of its own, and shorter ones between are joined until the hash of one ends them, on average every 16 words. Words are
 parted by ASCII white space and compared in lower case; shingles are runs of five words.
 
+A passage may also begin and end inside paragraphs, and lines may be wrapped in other ways. So the words of a whole text,
+whatever their lines, also give stretches of ``STRETCH`` words, which meet if they are equal. Of each ``WINDOW`` words
+that follow one another, the one with the least hash of three words begins a stretch. Any run of ``WINDOW + STRETCH``
+words therefore holds a whole stretch that begins at the same word wherever the run stands.
+
 Bands of ``ROWS`` MinHash values collide for paragraphs alike. With a Jaccard similarity of 0.8, seven bands of two rows
 miss a pair once in 1,300. Band hashes alone are compared first, so that only paragraphs with a collision are sent on.
 Colliding paragraphs are verified by the exact Jaccard similarity of their shingles, and verified links make components;
@@ -37,23 +42,28 @@ BANDS, ROWS = 7, 2
 MIN_WORDS, LONG_WORDS = SHINGLE, 40
 #: Sentences of a long line with fewer words are joined.
 JOIN_WORDS = 10
+STRETCH, WINDOW = 25, 25
+#: Part of a stretch in the result.
+ACROSS = -1
 #: Different paragraphs under one band hash that are joined directly; more are joined in blocks of this many.
 DIRECT = 64
 BLOCK = 512
 
 _SENTENCE = re.compile(rb"(?<=[.!?])[\"')\]]*[\x20\x09-\x0D]+")
 _MULTIPLIERS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_FIELDS = [("uid", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("paragraph", pa.int32()), ("part", pa.int32()), ("n_words", pa.int32()), ("shingles", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
-_FIELDS_SQL = "uid string, doc_id long, row long, paragraph int, part int, n_words int, shingles array<bigint>, bands array<bigint>"
+_FIELDS = [("uid", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("paragraph", pa.int32()), ("part", pa.int32()), ("begin", pa.int32()), ("n_words", pa.int32()), ("shingles", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
+_FIELDS_SQL = "uid string, doc_id long, row long, paragraph int, part int, begin int, n_words int, shingles array<bigint>, bands array<bigint>"
 
 
 def paragraphs(text: str | None, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int, list[bytes]]]:
     """(line, sentence, words) of each paragraph of a whole text, lines and sentences counted from 0."""
-    return [(line, part, ws) for line, part, _, ws in _placed(_lines(text), min_words, long_words)]
+    return [(line, part, ws) for line, part, _, ws in _placed(*_lines(text), min_words, long_words)]
 
 
-def _lines(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
+def _lines(text: str | None) -> tuple[list[bytes], list[list[bytes]]]:
+    """Lines of a text, and the words of each."""
+    lines = (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
+    return lines, [line.split() for line in lines]
 
 
 def _ends(ws: list[bytes]) -> bool:
@@ -61,7 +71,7 @@ def _ends(ws: list[bytes]) -> bool:
     return xxhash.xxh32_intdigest(b" ".join(ws)) % 16 < len(ws)
 
 
-def _placed(lines: list[bytes], min_words: int, long_words: int) -> list[tuple[int, int, int, list[bytes]]]:
+def _placed(lines: list[bytes], split: list[list[bytes]], min_words: int, long_words: int) -> list[tuple[int, int, int, list[bytes]]]:
     """Paragraphs as (line, sentence, words before, words)."""
     out: list[tuple[int, int, int, list[bytes]]] = []
     joined: list[bytes] = []
@@ -81,8 +91,7 @@ def _placed(lines: list[bytes], min_words: int, long_words: int) -> list[tuple[i
         if len(joined) >= min_words and _ends(ws):
             end()
 
-    for i, line in enumerate(lines):
-        ws = line.split()
+    for i, (line, ws) in enumerate(zip(lines, split, strict=True)):
         if len(ws) < min_words:
             if ws:
                 join(ws, i, 0, at)
@@ -130,20 +139,71 @@ def band_hashes(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _thinned(begins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which stretches stay (mask), where equal ones overlap, as in a word said over and over: from the left, those apart."""
+    order = np.lexsort((begins, hashes))
+    b, h = begins[order], hashes[order]
+    stays = np.ones(b.size, bool)
+    for k in (np.flatnonzero((h[1:] == h[:-1]) & (b[1:] - b[:-1] < STRETCH)) + 1).tolist():
+        last = k - 1
+        while not stays[last]:
+            last -= 1
+        stays[k] = b[k] - b[last] >= STRETCH
+    out = np.empty(b.size, bool)
+    out[order] = stays
+    return out
+
+
+def stretches(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, number of words, hash) of the stretches of texts given as words.
+
+    The first and the last ``STRETCH`` words of a text are stretches too, so that every word is in one. A text with fewer
+    words is one stretch; with fewer than ``SHINGLE`` it has none.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes) - sizes
+    h = word_hashes([w for ws in texts for w in ws])
+    long = sizes >= STRETCH
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    begins = [starts[long], (starts + sizes - STRETCH)[long]]
+    grams = seed_hashes(h, 3)
+    if grams.size >= WINDOW:
+        windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+        for at in range(0, windows.shape[0], 1 << 18):
+            some = windows[at : at + (1 << 18)]
+            first = np.arange(at, at + some.shape[0])
+            inside = first + WINDOW + 2 <= (starts + sizes)[owner[first]]
+            found = np.unique((first + some.argmin(axis=1))[inside])
+            begins.append(found[found + STRETCH <= (starts + sizes)[owner[found]]])
+    begin = np.unique(np.concatenate(begins))
+    hashes = seed_hashes(h, STRETCH)[begin] if begin.size else np.empty(0, np.uint64)
+    stays = _thinned(begin, hashes)
+    begin, hashes = begin[stays], hashes[stays]
+    short = np.flatnonzero((sizes >= SHINGLE) & ~long)
+    whole = np.array([xxhash.xxh64_intdigest(b" ".join(texts[r])) for r in short.tolist()], np.uint64)
+    rows = np.concatenate((owner[begin], short))
+    return rows, np.concatenate((begin, starts[short])) - starts[rows], np.minimum(sizes[rows], STRETCH), np.concatenate((hashes, whole))
+
+
 class _Paragraphs:
-    """Paragraphs of a chunk's documents."""
+    """Paragraphs of a chunk's documents, and stretches if asked for."""
 
-    def __init__(self, docs: pa.Table, min_words: int, long_words: int):
+    def __init__(self, docs: pa.Table, min_words: int, long_words: int, across: bool):
         self.row: list[int] = []
-        self.place: list[tuple[int, int]] = []
+        self.place: list[tuple[int, int, int]] = []
         words: list[list[bytes]] = []
+        self.texts: list[list[bytes]] = []
+        self.line_ends: list[np.ndarray] = []
         for r, text in enumerate(docs.column("text")):
-            for line, part, ws in paragraphs(text.as_py(), min_words, long_words):
+            lines, split = _lines(text.as_py())
+            for line, part, begin, ws in _placed(lines, split, min_words, long_words):
                 self.row.append(r)
-                self.place.append((line, part))
+                self.place.append((line, part, begin))
                 words.append(ws)
+            if across:
+                self.texts.append([w for ws in split for w in ws])
+                self.line_ends.append(np.cumsum([len(ws) for ws in split]))
         self.words = words
-        self.uid = [xxhash.xxh3_128_hexdigest(b" ".join(ws)) for ws in words]
         parts, self.shingles = [], []
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
@@ -151,35 +211,43 @@ class _Paragraphs:
             parts.append(band_hashes(s, starts))
             self.shingles += np.split(s, starts[1:])
         self.bands = np.concatenate(parts) if parts else np.zeros((0, BANDS), np.uint64)
+        self.stretches = stretches(self.texts)
+        self.hashes = np.concatenate((self.bands.ravel(), self.stretches[3]))
 
 
-def _send(docs: pa.Table, n: int, min_words: int, long_words: int) -> pa.Table:
-    """For a chunk: its distinct band hashes, by bucket."""
-    found = _Paragraphs(docs, min_words, long_words)
-    u, many, _ = _unique_hashes(found.bands.ravel())
+def _send(docs: pa.Table, n: int, min_words: int, long_words: int, across: bool) -> pa.Table:
+    """For a chunk: its distinct hashes of bands and stretches, by bucket."""
+    found = _Paragraphs(docs, min_words, long_words, across)
+    u, many, _ = _unique_hashes(found.hashes)
     chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
     return _table([(0, b, chunk, _bytes(u[i]), np.packbits(many[i]).tobytes(), None, None) for b, i in _by_bucket(_home(u, n), n)], _PACKED)
 
 
-def _colliding(docs: pa.Table, replies: pa.Table, n: int, min_words: int, long_words: int) -> pa.Table:
-    """For a chunk: its paragraphs with a band hash that comes again; shingles once for equal paragraphs."""
+def _colliding(docs: pa.Table, replies: pa.Table, n: int, min_words: int, long_words: int, across: bool) -> pa.Table:
+    """For a chunk: its paragraphs and stretches with a hash that comes again; shingles once for equal paragraphs."""
     schema = pa.schema(_FIELDS)
     if not docs.num_rows:
         return _table([], schema)
-    found = _Paragraphs(docs, min_words, long_words)
-    u, _, inverse = _unique_hashes(found.bands.ravel())
+    found = _Paragraphs(docs, min_words, long_words, across)
+    u, _, inverse = _unique_hashes(found.hashes)
     again = np.zeros(u.size, bool)
     answers = dict(zip(replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), strict=True))
     for b, i in _by_bucket(_home(u, n), n):
         again[i] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=i.size).astype(bool)
-    hit = again[inverse].reshape(found.bands.shape)
+    comes_again = again[inverse]
+    hit = comes_again[: found.bands.size].reshape(found.bands.shape)
     ids, rows = docs.column("doc_id").to_pylist(), docs.column("row").to_pylist()
     out, told = [], set()
     for k in np.flatnonzero(hit.any(axis=1)).tolist():
-        r, uid = found.row[k], found.uid[k]
+        r, uid = found.row[k], xxhash.xxh3_128_hexdigest(b" ".join(found.words[k]))
         first = uid not in told
         told.add(uid)
         out.append((uid, ids[r], rows[r], *found.place[k], len(found.words[k]), np.unique(found.shingles[k].view(np.int64)) if first else None, found.bands[k][hit[k]].view(np.int64) if first else None))
+    which = np.flatnonzero(comes_again[found.bands.size :])
+    for r, begin, size in zip(*(x[which].tolist() for x in found.stretches[:3]), strict=True):
+        uid = "s" + xxhash.xxh3_128_hexdigest(b" ".join(found.texts[r][begin : begin + size]))
+        line = int(np.searchsorted(found.line_ends[r], begin, side="right"))
+        out.append((uid, ids[r], rows[r], line, ACROSS, begin, size, None, None))
     return _table(out, schema)
 
 
@@ -233,12 +301,13 @@ def links(units: DataFrame, least: float = SIMILARITY, direct: int = DIRECT, blo
     return near.union(far)
 
 
-def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, chunk_bytes: int = CHUNK_BYTES, across: bool = False) -> DataFrame:
     """The paragraphs that repeat in several documents, one row per occurrence.
 
     ``docs`` has ``doc_id, text``; other columns are not read. Returns ``doc_id, paragraph`` (line), ``part`` (sentence
-    of a long line), ``n_words, cluster, first_doc_id`` and ``removed``, false for the first occurrence of a cluster in
-    the order of doc_id, row and place. Documents without such a paragraph have no row.
+    of a long line), ``begin`` (words of the document before), ``n_words, cluster, first_doc_id`` and ``removed``, false for the first occurrence of a cluster in
+    the order of doc_id, row and place. With ``across``, repeated stretches have rows too, with ``ACROSS`` as part, the line
+    they begin in and clusters of their own. Documents without such a paragraph have no row.
 
     A joined paragraph has the place of its first line or sentence. Fewer than ``min_words`` words have no shingle and make
     no paragraph: null and empty texts have none; repeated rows are documents of their own; null ids come last; an empty table gives no rows.
@@ -249,16 +318,18 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WO
     chunks = _stored(docs, n, max(1, -(-n // 3))).groupBy("chunk")
 
     def step1(t: pa.Table) -> pa.Table:
-        return _send(t, n, min_words, long_words)
+        return _send(t, n, min_words, long_words, across)
 
     def step2(t: pa.Table, r: pa.Table) -> pa.Table:
-        return _colliding(t, r, n, min_words, long_words)
+        return _colliding(t, r, n, min_words, long_words, across)
 
     replies = spool(chunks.applyInArrow(step1, _PACKED_SQL).groupBy("kind", "bucket").applyInArrow(repeated_hashes, _PACKED_SQL))
     found = spool(chunks.cogroup(replies.groupBy("chunk")).applyInArrow(step2, _FIELDS_SQL))
     units = spool(found.where("shingles is not null").groupBy("uid").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
     joined = components(links(units, least))
     member = found.drop("shingles", "bands").join(joined.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("cluster", F.coalesce("component", "uid")).drop("component")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "paragraph", "part")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "paragraph", "part", "begin", "n_words")
     heads = member.groupBy("cluster").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").drop("low", "high")
-    return member.join(heads, "cluster").select("doc_id", "paragraph", "part", "n_words", "cluster", F.col("first.doc_id").alias("first_doc_id"), (place != F.col("first")).alias("removed"))
+    # Stretches may overlap: one that shares words with the first, in its document, is not removed.
+    apart = (F.col("row") != F.col("first.row")) | (F.col("begin") >= F.col("first.begin") + F.col("first.n_words"))
+    return member.join(heads, "cluster").select("doc_id", "paragraph", "part", "begin", "n_words", "cluster", F.col("first.doc_id").alias("first_doc_id"), apart.alias("removed"))

@@ -54,7 +54,7 @@ def op7_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+    return paragraphs.repeated(table(spark, sf_dir, "documents"), across=True)
 
 
 def op9_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,3 +240,37 @@ def test_short_sentences_make_paragraphs():
     for _ in range(50):
         line = " ".join(" ".join(f"w{rng.randrange(999)}" for _ in range(rng.randint(5, 9))) + "." for _ in range(12))
         assert [w for _, _, ws in paragraphs.paragraphs(line) for w in ws] == line.encode().split()
+
+
+def test_stretches():
+    """Every word is in a stretch, and any shared run of 50 words holds one whole stretch in both texts."""
+    rng = random.Random(13)
+    make = lambda n: [b"w%d" % rng.randrange(300) for _ in range(n)]
+    texts = []
+    for _ in range(200):
+        run = make(50)
+        texts += [make(rng.randint(0, 90)) + run + make(rng.randint(0, 90)) for _ in range(2)]
+    texts += [make(n) for n in (0, 4, 5, 24, 25, 26, 27, 28)] + [[b"a"] * 400]
+    row, begin, size, h = paragraphs.stretches(texts)
+    found = [set() for _ in texts]
+    covered = [set() for _ in texts]
+    for r, b, n, x in zip(row.tolist(), begin.tolist(), size.tolist(), h.tolist(), strict=True):
+        found[r].add((x, tuple(texts[r][b : b + n])))
+        covered[r].update(range(b, b + n))
+    assert all(len(c) == len(t) or len(t) < 5 for c, t in zip(covered, texts, strict=True))
+    assert all(found[i] & found[i + 1] for i in range(0, 400, 2))
+    assert len(found[-1]) == 1 and np.sum(row == len(texts) - 1) <= 17
+
+
+def test_passage_inside_paragraphs(spark):
+    """A passage that begins and ends inside sentences and is wrapped in another way, without any punctuation."""
+    rng = random.Random(14)
+    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage = make(52)
+    one = " ".join(make(70) + passage + make(60))
+    other = make(33) + passage + make(41)
+    rows = [(1, one), (2, "\n".join(" ".join(other[i : i + 7]) for i in range(0, len(other), 7))), (3, " ".join(make(90)))]
+    got = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string"), across=True).collect()
+    assert {(r.doc_id, r.first_doc_id, r.removed) for r in got} == {(1, 1, False), (2, 1, True)}
+    assert all(r.part == paragraphs.ACROSS and r.n_words == 25 for r in got)
+    assert all(33 <= r.begin <= 33 + 52 - 25 and r.paragraph == r.begin // 7 for r in got if r.doc_id == 2)
