@@ -14,7 +14,7 @@ words therefore holds a whole stretch that begins at the same word wherever the
 Bands of ``ROWS`` MinHash values collide for paragraphs alike. With a Jaccard similarity of 0.8, seven bands of two rows
 miss a pair once in 1,300. Band hashes alone are compared first, so that only paragraphs with a collision are sent on.
 Colliding paragraphs are verified by the exact Jaccard similarity of their shingles, and verified links make components;
-of a component that spans several documents the first paragraph stays and the others are removed.
+of a component of several paragraphs, in one document or more, the first stays and the others are removed.
 
 A band hash that very many different paragraphs share is joined block by block: each task compares two blocks, skips
 pairs that are connected already and hands on the links of a spanning forest, never all pairs.
@@ -302,11 +302,11 @@ def links(units: DataFrame, least: float = SIMILARITY, direct: int = DIRECT, blo
 
 
 def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, chunk_bytes: int = CHUNK_BYTES, across: bool = False) -> DataFrame:
-    """The paragraphs that repeat in several documents, one row per occurrence.
+    """The paragraphs that repeat, in several documents or in one, one row per occurrence.
 
     ``docs`` has ``doc_id, text``; other columns are not read. Returns ``doc_id, paragraph`` (line), ``part`` (sentence
     of a long line), ``begin`` (words of the document before), ``n_words, cluster, first_doc_id`` and ``removed``, false for the first occurrence of a cluster in
-    the order of doc_id, row and place. With ``across``, repeated stretches have rows too, with ``ACROSS`` as part, the line
+    the order of doc_id, row and place, and ``across_documents``, whether the cluster spans several. With ``across``, repeated stretches have rows too, with ``ACROSS`` as part, the line
     they begin in and clusters of their own. Documents without such a paragraph have no row.
 
     A joined paragraph has the place of its first line or sentence. Fewer than ``min_words`` words have no shingle and make
@@ -329,7 +329,10 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WO
     joined = components(links(units, least))
     member = found.drop("shingles", "bands").join(joined.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("cluster", F.coalesce("component", "uid")).drop("component")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "paragraph", "part", "begin", "n_words")
-    heads = member.groupBy("cluster").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").drop("low", "high")
+    end = F.col("begin") + F.col("n_words")
+    heads = member.groupBy("cluster").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"), F.max("begin").alias("latest"), F.min(end).alias("earliest"))
+    # In one document, at least two occurrences must lie apart.
+    heads = heads.where("low < high or latest >= earliest").select("cluster", "first", (F.col("low") < F.col("high")).alias("across_documents"))
     # Stretches may overlap: one that shares words with the first, in its document, is not removed.
     apart = (F.col("row") != F.col("first.row")) | (F.col("begin") >= F.col("first.begin") + F.col("first.n_words"))
-    return member.join(heads, "cluster").select("doc_id", "paragraph", "part", "begin", "n_words", "cluster", F.col("first.doc_id").alias("first_doc_id"), apart.alias("removed"))
+    return member.join(heads, "cluster").select("doc_id", "paragraph", "part", "begin", "n_words", "cluster", F.col("first.doc_id").alias("first_doc_id"), apart.alias("removed"), "across_documents")

@@ -274,3 +274,13 @@ def test_passage_inside_paragraphs(spark):
     assert {(r.doc_id, r.first_doc_id, r.removed) for r in got} == {(1, 1, False), (2, 1, True)}
     assert all(r.part == paragraphs.ACROSS and r.n_words == 25 for r in got)
     assert all(33 <= r.begin <= 33 + 52 - 25 and r.paragraph == r.begin // 7 for r in got if r.doc_id == 2)
+
+
+def test_repetition_inside_a_document(spark):
+    line = "a line of eight words that comes again"
+    rows = [(1, f"{line}\nsome other words in between them\n{line.upper()}\n{line}"), (2, "this document says everything only once, here"), (3, "la " * 60)]
+    got = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string"), across=True).collect()
+    assert not any(r.across_documents for r in got)
+    assert sorted((r.paragraph, r.removed) for r in got if r.doc_id == 1) == [(0, False), (2, True), (3, True)]
+    assert not any(r.doc_id == 2 for r in got)
+    assert sorted((r.begin, r.removed) for r in got if r.doc_id == 3 and r.part == paragraphs.ACROSS) == [(0, False), (25, True)]
