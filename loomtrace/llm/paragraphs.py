@@ -8,11 +8,11 @@ parted by ASCII white space and compared in lower case; shingles are runs of fiv
 
 A passage may also begin and end inside paragraphs, and lines may be wrapped in other ways. So the words of a whole text,
 whatever their lines, also give stretches of ``STRETCH`` words, which meet if they are equal. Of each ``WINDOW`` words
-that follow one another, the one with the least hash of three words begins a stretch. Any run of ``WINDOW + STRETCH``
+that follow one another, those with the least hash of three words begin a stretch. Any run of ``WINDOW + STRETCH``
 words therefore holds a whole stretch that begins at the same word wherever the run stands.
 
-Bands of ``ROWS`` MinHash values collide for paragraphs alike. With a Jaccard similarity of 0.8, seven bands of two rows
-miss a pair once in 1,300. Band hashes alone are compared first, so that only paragraphs with a collision are sent on.
+Bands of ``ROWS`` MinHash values collide for paragraphs alike. With a Jaccard similarity of 0.8, eight bands of two rows
+miss a pair once in 3,500. Band hashes alone are compared first, so that only paragraphs with a collision are sent on.
 Colliding paragraphs are verified by the exact Jaccard similarity of their shingles, and verified links make components;
 of a component of several paragraphs, in one document or more, the first stays and the others are removed.
 
@@ -23,6 +23,8 @@ pairs that are connected already and hands on the links of a spanning forest, ne
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,7 @@ from .substrings import _PACKED, _PACKED_SQL, CHUNK_BYTES, _by_bucket, _bytes, _
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 7, 2
+BANDS, ROWS = 8, 2
 MIN_WORDS, LONG_WORDS = SHINGLE, 40
 #: Sentences of a long line with fewer words are joined.
 JOIN_WORDS = 10
@@ -154,6 +156,16 @@ def _thinned(begins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sliding(least: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """The minimum (or maximum) of each ``WINDOW`` values that follow one another."""
+    size = 1
+    while 2 * size <= WINDOW:
+        x = least(x[:-size], x[size:])
+        size *= 2
+    rest = WINDOW - size
+    return least(x[:-rest], x[rest:]) if rest else x
+
+
 def stretches(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, number of words, hash) of the stretches of texts given as words.
 
@@ -168,13 +180,11 @@ def stretches(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     begins = [starts[long], (starts + sizes - STRETCH)[long]]
     grams = seed_hashes(h, 3)
     if grams.size >= WINDOW:
-        windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-        for at in range(0, windows.shape[0], 1 << 18):
-            some = windows[at : at + (1 << 18)]
-            first = np.arange(at, at + some.shape[0])
-            inside = first + WINDOW + 2 <= (starts + sizes)[owner[first]]
-            found = np.unique((first + some.argmin(axis=1))[inside])
-            begins.append(found[found + STRETCH <= (starts + sizes)[owner[found]]])
+        least = _sliding(np.minimum, grams)
+        least[np.arange(least.size) + WINDOW + 2 > (starts + sizes)[owner[: least.size]]] = 0
+        around = np.concatenate((np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)))
+        found = np.flatnonzero(_sliding(np.maximum, around) == grams)
+        begins.append(found[found + STRETCH <= (starts + sizes)[owner[found]]])
     begin = np.unique(np.concatenate(begins))
     hashes = seed_hashes(h, STRETCH)[begin] if begin.size else np.empty(0, np.uint64)
     stays = _thinned(begin, hashes)
@@ -186,33 +196,49 @@ def stretches(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 class _Paragraphs:
-    """Paragraphs of a chunk's documents, and stretches if asked for."""
+    """Paragraphs of a chunk's documents, and stretches if asked for; words are kept joined, which takes less memory."""
 
     def __init__(self, docs: pa.Table, min_words: int, long_words: int, across: bool):
         self.row: list[int] = []
         self.place: list[tuple[int, int, int]] = []
+        self.size: list[int] = []
+        self.joined: list[bytes] = []
+        self.shingles: list[np.ndarray] = []
+        self.stretches: list[tuple[int, int, int, int, bytes]] = []
+        self._bands: list[np.ndarray] = []
+        self._hashes: list[np.ndarray] = []
         words: list[list[bytes]] = []
-        self.texts: list[list[bytes]] = []
-        self.line_ends: list[np.ndarray] = []
+        texts: list[list[list[bytes]]] = []
+        waiting = first = 0
         for r, text in enumerate(docs.column("text")):
             lines, split = _lines(text.as_py())
             for line, part, begin, ws in _placed(lines, split, min_words, long_words):
                 self.row.append(r)
                 self.place.append((line, part, begin))
                 words.append(ws)
-            if across:
-                self.texts.append([w for ws in split for w in ws])
-                self.line_ends.append(np.cumsum([len(ws) for ws in split]))
-        self.words = words
-        parts, self.shingles = [], []
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            s, starts = shingle_sets(some)
-            parts.append(band_hashes(s, starts))
+            texts.append(split if across else [])
+            waiting += sum(map(len, split))
+            if waiting > 100_000:
+                self._read(words, texts, first)
+                words, texts, waiting, first = [], [], 0, r + 1
+        self._read(words, texts, first)
+        self.bands = np.concatenate(self._bands) if self._bands else np.zeros((0, BANDS), np.uint64)
+        self.hashes = np.concatenate((self.bands.ravel(), *self._hashes))
+
+    def _read(self, words: list[list[bytes]], texts: list[list[list[bytes]]], first: int) -> None:
+        """Keep what the paragraphs and texts, the first of which is row ``first``, are compared by."""
+        if words:
+            s, starts = shingle_sets(words)
+            self._bands.append(band_hashes(s, starts))
             self.shingles += np.split(s, starts[1:])
-        self.bands = np.concatenate(parts) if parts else np.zeros((0, BANDS), np.uint64)
-        self.stretches = stretches(self.texts)
-        self.hashes = np.concatenate((self.bands.ravel(), self.stretches[3]))
+            self.size += map(len, words)
+            self.joined += map(b" ".join, words)
+        whole = [[w for ws in split for w in ws] for split in texts]
+        ends = [list(accumulate(map(len, split))) for split in texts]
+        rows, begins, sizes, hashes = stretches(whole)
+        self._hashes.append(hashes)
+        for r, b, n in zip(rows.tolist(), begins.tolist(), sizes.tolist(), strict=True):
+            self.stretches.append((first + r, bisect_right(ends[r], b), b, n, b" ".join(whole[r][b : b + n])))
 
 
 def _send(docs: pa.Table, n: int, min_words: int, long_words: int, across: bool) -> pa.Table:
@@ -239,15 +265,13 @@ def _colliding(docs: pa.Table, replies: pa.Table, n: int, min_words: int, long_w
     ids, rows = docs.column("doc_id").to_pylist(), docs.column("row").to_pylist()
     out, told = [], set()
     for k in np.flatnonzero(hit.any(axis=1)).tolist():
-        r, uid = found.row[k], xxhash.xxh3_128_hexdigest(b" ".join(found.words[k]))
+        r, uid = found.row[k], xxhash.xxh3_128_hexdigest(found.joined[k])
         first = uid not in told
         told.add(uid)
-        out.append((uid, ids[r], rows[r], *found.place[k], len(found.words[k]), np.unique(found.shingles[k].view(np.int64)) if first else None, found.bands[k][hit[k]].view(np.int64) if first else None))
-    which = np.flatnonzero(comes_again[found.bands.size :])
-    for r, begin, size in zip(*(x[which].tolist() for x in found.stretches[:3]), strict=True):
-        uid = "s" + xxhash.xxh3_128_hexdigest(b" ".join(found.texts[r][begin : begin + size]))
-        line = int(np.searchsorted(found.line_ends[r], begin, side="right"))
-        out.append((uid, ids[r], rows[r], line, ACROSS, begin, size, None, None))
+        out.append((uid, ids[r], rows[r], *found.place[k], found.size[k], np.unique(found.shingles[k].view(np.int64)) if first else None, found.bands[k][hit[k]].view(np.int64) if first else None))
+    for k in np.flatnonzero(comes_again[found.bands.size :]).tolist():
+        r, line, begin, size, joined = found.stretches[k]
+        out.append(("s" + xxhash.xxh3_128_hexdigest(joined), ids[r], rows[r], line, ACROSS, begin, size, None, None))
     return _table(out, schema)
 
 

@@ -284,3 +284,8 @@ def test_repetition_inside_a_document(spark):
     assert sorted((r.paragraph, r.removed) for r in got if r.doc_id == 1) == [(0, False), (2, True), (3, True)]
     assert not any(r.doc_id == 2 for r in got)
     assert sorted((r.begin, r.removed) for r in got if r.doc_id == 3 and r.part == paragraphs.ACROSS) == [(0, False), (25, True)]
+
+
+def test_bands_miss_few_pairs():
+    """A pair at the threshold is missed at most once in 3,000."""
+    assert (1 - paragraphs.SIMILARITY**paragraphs.ROWS) ** paragraphs.BANDS < 1 / 3000
