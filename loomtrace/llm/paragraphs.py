@@ -198,7 +198,8 @@ def stretches(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndar
 class _Paragraphs:
     """Paragraphs of a chunk's documents, and stretches if asked for; words are kept joined, which takes less memory."""
 
-    def __init__(self, docs: pa.Table, min_words: int, long_words: int, across: bool):
+    def __init__(self, docs: pa.Table, min_words: int, long_words: int, across: bool, hashes_only: bool = False):
+        self.hashes_only = hashes_only
         self.row: list[int] = []
         self.place: list[tuple[int, int, int]] = []
         self.size: list[int] = []
@@ -230,20 +231,23 @@ class _Paragraphs:
         if words:
             s, starts = shingle_sets(words)
             self._bands.append(band_hashes(s, starts))
+        if words and not self.hashes_only:
             self.shingles += np.split(s, starts[1:])
             self.size += map(len, words)
             self.joined += map(b" ".join, words)
         whole = [[w for ws in split for w in ws] for split in texts]
-        ends = [list(accumulate(map(len, split))) for split in texts]
         rows, begins, sizes, hashes = stretches(whole)
         self._hashes.append(hashes)
+        if self.hashes_only:
+            return
+        ends = [list(accumulate(map(len, split))) for split in texts]
         for r, b, n in zip(rows.tolist(), begins.tolist(), sizes.tolist(), strict=True):
             self.stretches.append((first + r, bisect_right(ends[r], b), b, n, b" ".join(whole[r][b : b + n])))
 
 
 def _send(docs: pa.Table, n: int, min_words: int, long_words: int, across: bool) -> pa.Table:
     """For a chunk: its distinct hashes of bands and stretches, by bucket."""
-    found = _Paragraphs(docs, min_words, long_words, across)
+    found = _Paragraphs(docs, min_words, long_words, across, hashes_only=True)
     u, many, _ = _unique_hashes(found.hashes)
     chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
     return _table([(0, b, chunk, _bytes(u[i]), np.packbits(many[i]).tobytes(), None, None) for b, i in _by_bucket(_home(u, n), n)], _PACKED)
