@@ -77,7 +77,8 @@ _DROP_SEPARATOR = 0.1
 _KEEP_SEPARATOR = 2.5
 _DROP_REPEAT = {2: 2.0, 3: 0.3}
 _KEEP_REPEAT = {2: 0.0, 3: 1.5}
-_BEAM = 48
+#: States times options of a step that are looked at one by one; more are taken as arrays.
+_FEW = 150
 
 _EDGE = ".,;:?!\"'()[]{}&%#*$~`-_/\\<>=+|"
 _SIGNS = frozenset(LOOKALIKES)
@@ -161,29 +162,67 @@ def _lattice(token: str) -> list[tuple[tuple[int | None, float], ...]]:
     return out
 
 
+_Step = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _step(states: np.ndarray, costs: np.ndarray, options: list | tuple, model: np.ndarray) -> _Step:
+    """All states after one sign with the least cost of each: (states, costs, place of the state before, symbol or -1)."""
+    to, cost, before, symbols = [], [], [], []
+    every = np.arange(states.size)
+    for symbol, extra in options:
+        stays = np.full(states.size, symbol is None) if symbol != 0 else states & 31 == 0
+        gram = (states << _SHIFT) | (symbol or 0)
+        to.append(np.where(stays, states, gram & _STATE))
+        cost.append(costs + extra + np.where(stays, 0.0, model[gram]))
+        before.append(every)
+        symbols.append(np.where(stays, -1, symbol or 0))
+    to_, cost_ = np.concatenate(to), np.concatenate(cost)
+    least = np.full(_STATE + 1, np.inf)
+    np.minimum.at(least, to_, cost_)
+    won = np.flatnonzero(cost_ == least[to_])
+    after, first = np.unique(to_[won], return_index=True)
+    won = won[first]
+    return after, cost_[won], np.concatenate(before)[won], np.concatenate(symbols)[won]
+
+
 def restore(token: str, model: np.ndarray) -> list[bytes]:
-    """The likeliest words behind a lower-case token or spaced run; letters that are not ASCII part words."""
-    best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+    """The likeliest words behind a lower-case token or spaced run, by exact Viterbi decoding over all states."""
+    states, costs = [0], [0.0]
+    steps: list[tuple] = []
     for options in [*_lattice(token), ((0, 0.0),)]:
-        after: dict[int, tuple[float, tuple]] = {}
-        for state, (cost, path) in best.items():
+        if len(states) * len(options) > _FEW:
+            after, c, before, symbols = _step(np.array(states), np.array(costs), options, model)
+            states, costs = after.tolist(), c.tolist()
+            steps.append((before, symbols))
+            continue
+        place: dict[int, int] = {}
+        to_, cost_, before_, symbols_ = [], [], [], []
+        for i, (state, cost) in enumerate(zip(states, costs, strict=True)):
             for symbol, extra in options:
                 c = cost + extra
                 if symbol is None or symbol == 0 and not state & 31:
-                    to, p = state, path
+                    to, written = state, -1
                 else:
-                    c += model[(state << _SHIFT) | symbol]
-                    to, p = ((state << _SHIFT) | symbol) & _STATE, (path, symbol)
-                if to not in after or c < after[to][0]:
-                    after[to] = (c, p)
-        if len(after) > _BEAM:
-            after = dict(sorted(after.items(), key=lambda x: x[1][0])[:_BEAM])
-        best = after
-    path = min(best.values(), key=lambda x: x[0])[1]
+                    gram = (state << _SHIFT) | symbol
+                    c += float(model[gram])
+                    to, written = gram & _STATE, symbol
+                at = place.get(to)
+                if at is None:
+                    place[to] = len(to_)
+                    to_.append(to)
+                    cost_.append(c)
+                    before_.append(i)
+                    symbols_.append(written)
+                elif c < cost_[at]:
+                    cost_[at], before_[at], symbols_[at] = c, i, written
+        states, costs = to_, cost_
+        steps.append((before_, symbols_))
+    at = min(range(len(costs)), key=costs.__getitem__)
     symbols = []
-    while path:
-        path, s = path
-        symbols.append(s)
+    for before, written in reversed(steps):
+        if written[at] >= 0:
+            symbols.append(int(written[at]))
+        at = before[at]
     return bytes(96 + s if 0 < s < OTHER else 32 for s in reversed(symbols)).split()
 
 
