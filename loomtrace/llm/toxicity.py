@@ -82,8 +82,7 @@ _FEW = 150
 
 _EDGE = ".,;:?!\"'()[]{}&%#*$~`-_/\\<>=+|"
 _SIGNS = frozenset(LOOKALIKES)
-_SEPARATED = re.compile(r"^\w(?:[._\-*~/|]+\w){2,}$")
-_REPEATED = re.compile(r"([a-z])\1\1|(?:([a-z])\2){3}")
+_REPEATED = re.compile(r"([a-z])\1")
 #: Runs of three or more single signs, each parted from the next by white space.
 _SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){2,}(?!\S)")
 _GAP = re.compile(r"[\s._\-~/]+")
@@ -227,7 +226,10 @@ def restore(token: str, model: np.ndarray) -> list[bytes]:
 
 
 def suspicious(token: str) -> str:
-    """The part of a lower-case token worth decoding, or an empty string."""
+    """The part of a lower-case token worth decoding, or an empty string.
+
+    Any token with a sign among its letters or a doubled letter is; so are four signs or more without a letter.
+    """
     core = token.strip(_EDGE)
     if core.isalpha() and core.isascii():
         inner = core if _REPEATED.search(core) else ""
@@ -241,11 +243,11 @@ def suspicious(token: str) -> str:
         edge = core
     if any(c in _SIGNS for c in core) and (any(c.isalpha() for c in core) or sum(c in _SIGNS for c in core) >= 4):
         return edge
-    return core if _SEPARATED.match(core) or _REPEATED.search(core) else ""
+    return core if _REPEATED.search(core) or not core.isalpha() and any(c.isalpha() for c in core) else ""
 
 
-def hidden_words(text: str, tokens: set[str], model: np.ndarray, memo: dict[str, tuple[bytes, ...]]) -> Iterator[bytes]:
-    """Words restored from spaced runs of a lower-case text whose tokens are given."""
+def hidden_words(text: str, tokens: list[str], model: np.ndarray, memo: dict[str, tuple[bytes, ...]]) -> Iterator[bytes]:
+    """Words restored from spaced runs of a lower-case text whose tokens are given, each as often as it occurs."""
     if sum(len(t) == 1 for t in tokens) >= 3:
         for m in _SPACED.finditer(text):
             run = _GAP.sub(" ", m[0])
@@ -258,11 +260,11 @@ def hidden_words(text: str, tokens: set[str], model: np.ndarray, memo: dict[str,
 def words_of(text: str, model: np.ndarray, memo: dict[str, tuple[bytes, ...]]) -> set[bytes]:
     """Words of a whole text, as written and as restored. ``memo`` keeps those of each token."""
     text = text.lower()
-    tokens = set(text.split())
+    tokens = text.split()
     if len(memo) > 400_000:
         memo.clear()
     out: set[bytes] = set()
-    for t in tokens:
+    for t in set(tokens):
         ws = memo.get(t)
         if ws is None:
             ws = folded(t)
@@ -314,17 +316,18 @@ class Scorer:
     def score(self, text: str | None, memo: dict[str, tuple[tuple[bytes, float], ...]], spaced: dict[str, tuple[bytes, ...]]) -> float:
         """The score of a whole text; null counts as empty. ``memo`` keeps each token's weighted words."""
         text = (text or "").lower()
-        tokens = set(text.split())
+        tokens = text.split()
         if len(memo) > 1_000_000:
             memo.clear()
         if len(spaced) > 100_000:
             spaced.clear()
         found: dict[bytes, float] = {}
-        for t in tokens:
+        for t in set(tokens):
             hit = memo.get(t)
             if hit is None:
-                hit = [(w, self.weights[w]) for w in folded(t) if w in self.weights]
-                if part := suspicious(t):
+                written = folded(t)
+                hit = [(w, self.weights[w]) for w in written if w in self.weights]
+                if (not hit or len(hit) < len(written)) and (part := suspicious(t)):
                     hit += self.restored(restore(part, self.model))
                 hit = memo[t] = tuple(hit)
             if hit:

@@ -261,3 +261,16 @@ def test_decoding_is_exact(monkeypatch, few):
     model[0, 0, 0, 17] = model[0, 0, 17, 17] = 25
     model[0, 17, 17, 1] = model[17, 17, 1, 2] = model[17, 1, 2, 0] = 0
     assert toxicity.restore("**ab", model.ravel()) == brute_restore("**ab", model.ravel()) == [b"qqab"]
+
+
+@pytest.mark.parametrize("form", ["st.upid", "id-iot", "s,t,u,p,i,d", "st\u200bup\u200bid", "stuupid", "iidiot", "p o o p"])
+def test_disguises_are_read(form):
+    """Separators between several letters and of any kind, letters said twice, a spaced run of two different letters."""
+    model = np.full((32,) * 4, 5, np.float32)
+    for word in ("stupid", "idiot", "poop"):
+        s = [0, 0, 0, *(ord(c) - 96 for c in word), 0]
+        for i in range(len(s) - 3):
+            model[tuple(s[i : i + 4])] = 0.5
+    scorer = toxicity.Scorer(model.ravel(), {b"stupid": 5.0, b"idiot": 5.0, b"poop": 5.0}, np.array([-3.0, 1.0, 1.0, 1.0]))
+    assert scorer.score(f"well then {form} again", {}, {}) >= 0.5 > scorer.score("well then again", {}, {})
+    assert toxicity.words_of(f"well then {form} again", scorer.model, {}) & set(scorer.weights)
