@@ -135,8 +135,12 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(np.maximum(p, 1e-12)).ravel().astype(np.float32)
 
 
-def _lattice(token: str) -> list[tuple[tuple[int | None, float], ...]]:
-    """For each sign of a token, what it may stand for: (symbol, or None for nothing; cost)."""
+def _lattice(token: str, native: bool = False) -> list[tuple[tuple[int | None, float], ...]]:
+    """For each sign of a token, what it may stand for: (symbol, or None for nothing; cost).
+
+    Bytes of other letters stand for themselves; the model knows them as ``OTHER``. So do
+    letters that look like ASCII ones where the token is read in its ``native`` script.
+    """
     out: list[tuple[tuple[int | None, float], ...]] = []
     previous, run = "", 0
     for ch in token:
@@ -149,7 +153,7 @@ def _lattice(token: str) -> list[tuple[tuple[int | None, float], ...]]:
             else:
                 k = min(run, 3)
                 out.append(((s, _KEEP_REPEAT[k]), (None, _DROP_REPEAT[k])))
-        elif ch in _SIGNS:
+        elif ch in _SIGNS and not (native and ch.isalpha()):
             letters = LOOKALIKES[ch]
             cost = _MASK if len(letters) > 5 else _SUBSTITUTE
             repeat = ((None, _DROP_REPEAT[3]),) if run > 1 else ()
@@ -157,7 +161,7 @@ def _lattice(token: str) -> list[tuple[tuple[int | None, float], ...]]:
         elif ch.isspace() or not ch.isalnum():
             out.append(((None, _DROP_SEPARATOR), (0, _KEEP_SEPARATOR)))
         else:
-            out += [((OTHER, 0.0),)] * len(ch.encode("utf-8", "replace"))
+            out += [((byte, 0.0),) for byte in ch.encode("utf-8", "replace")]
     return out
 
 
@@ -170,7 +174,7 @@ def _step(states: np.ndarray, costs: np.ndarray, options: list | tuple, model: n
     every = np.arange(states.size)
     for symbol, extra in options:
         stays = np.full(states.size, symbol is None) if symbol != 0 else states & 31 == 0
-        gram = (states << _SHIFT) | (symbol or 0)
+        gram = (states << _SHIFT) | min(symbol or 0, OTHER)
         to.append(np.where(stays, states, gram & _STATE))
         cost.append(costs + extra + np.where(stays, 0.0, model[gram]))
         before.append(every)
@@ -185,10 +189,20 @@ def _step(states: np.ndarray, costs: np.ndarray, options: list | tuple, model: n
 
 
 def restore(token: str, model: np.ndarray) -> list[bytes]:
-    """The likeliest words behind a lower-case token or spaced run, by exact Viterbi decoding over all states."""
+    """The likeliest words behind a lower-case token or spaced run, by exact Viterbi decoding over all states.
+
+    A token with letters of another script that look like ASCII ones is read both ways.
+    """
+    words = _decoded(_lattice(token), model)
+    if any(c in _SIGNS and c.isalpha() for c in token):
+        words += _decoded(_lattice(token, native=True), model)
+    return words
+
+
+def _decoded(lattice: list, model: np.ndarray) -> list[bytes]:
     states, costs = [0], [0.0]
     steps: list[tuple] = []
-    for options in [*_lattice(token), ((0, 0.0),)]:
+    for options in [*lattice, ((0, 0.0),)]:
         if len(states) * len(options) > _FEW:
             after, c, before, symbols = _step(np.array(states), np.array(costs), options, model)
             states, costs = after.tolist(), c.tolist()
@@ -202,7 +216,7 @@ def restore(token: str, model: np.ndarray) -> list[bytes]:
                 if symbol is None or symbol == 0 and not state & 31:
                     to, written = state, -1
                 else:
-                    gram = (state << _SHIFT) | symbol
+                    gram = (state << _SHIFT) | (symbol if symbol < OTHER else OTHER)
                     c += float(model[gram])
                     to, written = gram & _STATE, symbol
                 at = place.get(to)
@@ -222,7 +236,7 @@ def restore(token: str, model: np.ndarray) -> list[bytes]:
         if written[at] >= 0:
             symbols.append(int(written[at]))
         at = before[at]
-    return bytes(96 + s if 0 < s < OTHER else 32 for s in reversed(symbols)).split()
+    return bytes(s if s > OTHER else 96 + s if s else 32 for s in reversed(symbols)).split()
 
 
 def suspicious(token: str) -> str:

@@ -274,3 +274,16 @@ def test_disguises_are_read(form):
     scorer = toxicity.Scorer(model.ravel(), {b"stupid": 5.0, b"idiot": 5.0, b"poop": 5.0}, np.array([-3.0, 1.0, 1.0, 1.0]))
     assert scorer.score(f"well then {form} again", {}, {}) >= 0.5 > scorer.score("well then again", {}, {})
     assert toxicity.words_of(f"well then {form} again", scorer.model, {}) & set(scorer.weights)
+
+
+def test_letters_that_are_not_ascii_are_restored():
+    model = np.full(1 << 20, 1, np.float32)
+    assert toxicity.restore("déb1le", model)[0].startswith("déb".encode())
+    assert "дурак".encode() in toxicity.restore("ду.рак", model)
+    flat = np.full((32,) * 4, 3, np.float32)
+    s = [0, 0, 0, 4, 27, 27, 2, 9, 12, 5, 0]  # the model knows both bytes of é as one symbol
+    for i in range(len(s) - 3):
+        flat[tuple(s[i : i + 4])] = 0.5
+    scorer = toxicity.Scorer(flat.ravel(), {"débile".encode(): 5.0}, np.array([-3.0, 1.0, 1.0, 1.0]))
+    for form in ("déb1le", "d.é.b.i.l.e", "d é b i l e", "débiiile"):
+        assert scorer.score(f"tout est {form} ici", {}, {}) >= 0.5
