@@ -14,13 +14,18 @@ from loomtrace.llm.common import spool, table
 
 #: Documents of which less than this share of n-grams is usual in the best language are in none that is known.
 LEAST_LANGUAGE = 0.3
+#: Texts with fewer n-grams are too short to be judged by that share.
+LEAST_GRAMS = 20
 N_SHARDS = 24
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without letters or in no known language go."""
+    """Documents in a known language; those without letters go, and those in no known language if long enough to tell."""
     judged = langid.identify(docs, langid.learn(docs.where(~langid.held_out())), "__lang", "__score")
-    return judged.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE)).drop("__lang", "__score")
+    low = F.col("__score") < LEAST_LANGUAGE
+    # Only texts below the share are counted.
+    counted = judged.where(F.col("__lang") != langid.UNDETERMINED).withColumn("__grams", langid.count_n_grams(F.when(low, F.col("text"))))
+    return counted.where(~low | (F.col("__grams") < LEAST_GRAMS)).drop("__lang", "__score", "__grams")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

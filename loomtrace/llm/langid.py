@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of_id
@@ -162,6 +162,22 @@ def identify(docs: DataFrame, filters: Filters, lang_col: str = "lang_pred", sco
     return judged_.withColumn(lang_col, F.col("__judged.lang")).withColumn(score_col, F.col("__judged.score")).drop("__judged")
 
 
+def n_grams(text: str | None) -> int:
+    """N-grams that a text's score rests on; 0 for null."""
+    return max(len(folded(text or "")) - N + 1, 0)
+
+
+def count_n_grams(text: Column) -> Column:
+    """:func:`n_grams` as a column."""
+
+    @F.pandas_udf("long")
+    def counted(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in it:
+            yield pd.Series([n_grams(t) for t in texts], dtype="int64")
+
+    return counted(text)
+
+
 def held_out(fold: int = 2, of: int = 4):
     """The rows whose labels are never learned."""
     return crc_of_id("doc_id") % of == fold

@@ -60,3 +60,14 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert out.count() > 0 and {"shard", "slot"} <= set(out.columns)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_short_texts_are_kept(spark):
+    """Texts too short for evidence stay; those without letters go, and long ones in no known language."""
+    docs = table(spark, DIR, "documents")
+    short = [(-1, "Re."), (-2, "A."), (-3, "É"), (-4, "12 !"), (-5, None), (-6, "xqzjv wkqxj zvqkw " * 20)]
+    extra = spark.createDataFrame(short, "doc_id long, text string")
+    more = spool(docs.unionByName(extra, allowMissingColumns=True))
+    kept = corpus_pipeline.language(spark, more, DIR)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.where("doc_id < 0").collect()} == {-1, -2, -3}
