@@ -31,6 +31,9 @@ FRAME = {"header", "footer"}
 
 # Words of class, id and role names.
 BAD_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "gdpr", "hidden", "legal", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "recommended", "related", "remark", "remarks", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "topbar", "widget"}
+#: A name that is part of a longer one says nothing of its element after one of these words, or before one of those.
+OF_OTHERS = {"category", "format", "has", "have", "no", "non", "not", "status", "tag", "type", "with", "without"}
+STATES = {"allowed", "closed", "disabled", "enabled", "open"}
 GOOD_NAMES = {"article", "articlebody", "body", "content", "entry", "main", "post", "story", "text"}
 
 # Weights of the classifier, and of smoothness.
@@ -51,6 +54,8 @@ SMOOTH = 1.2
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements whose names tell of the whole page.
+_WHOLE = {"html", "body"}
 _NOTICE = re.compile(r"©|\(c\)\s*\d{4}|copyright|all rights reserved|cookie", re.I)
 _END = re.compile(r"[.!?…。]['\")\]]*\s*$")
 
@@ -65,6 +70,18 @@ class Block:
     parent: int
 
 
+def _names(value: str) -> set[str]:
+    """Words of class, id and role names, without those that tell of something else: ``no-sidebar``, ``comments-open``."""
+    out: set[str] = set()
+    for name in value.split():
+        ws = [w.lower() for w in _NAME.findall(name)]
+        if len(ws) > 1 and ws[-1] in STATES:
+            continue
+        other = next((i for i, w in enumerate(ws) if w in OF_OTHERS), len(ws))
+        out.update(ws[:other])
+    return out
+
+
 def _hints(attributes: str) -> float:
     """What the names in a tag say of its content."""
     total = 0.0
@@ -73,7 +90,7 @@ def _hints(attributes: str) -> float:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return BAD_NAME
         if name in ("class", "id", "role", "itemprop"):
-            names = {x.lower() for x in _NAME.findall(value)}
+            names = _names(value)
             if names & BAD_NAMES:
                 return BAD_NAME
             if names & GOOD_NAMES:
@@ -168,7 +185,9 @@ def blocks(page: str) -> list[Block]:
         if (own := OWN_KIND.get(tag)) and opened.get(own) and tag not in ("li", "tr", "td", "th") or tag == "li" and stack[-1][0] == "li":
             close(tag)
         _, where, content, links, unseen, _ = stack[-1]
-        hint = _hints(m[3]) if m[3] and not m[3].isspace() else 0.0
+        hint = _hints(m[3]) if m[3] and not m[3].isspace() and tag not in _WHOLE else 0.0
+        if tag == "main":  # a page's only one; what is around it tells of other parts
+            where = max(where, 0.0)
         if tag in CONTENT:
             where, content = where + (0 if content else IN_CONTENT), True
         elif tag in BOILERPLATE:

@@ -122,6 +122,22 @@ def test_main_text():
     assert html.main_text("<article><p>Cut off in the middle of a par").startswith("Cut off")
 
 
+ARTICLE = "<article><h1>Title</h1><p>Some words of an article that go on for quite a while, with an end.</p><p>And more words in a second paragraph, which is about as long as the first.</p></article>"
+READ = "Title Some words of an article that go on for quite a while, with an end. And more words in a second paragraph, which is about as long as the first."
+
+
+@pytest.mark.parametrize("page", ['<body class="no-sidebar">{}</body>', '<body class="single has-comments">{}</body>', '<html class="js no-menu"><body id="sidebar-right" style="visibility:hidden">{}</body></html>', '<div id="page" class="with-sidebar">{}</div>', '<div class="post tag-social category-ads comments-open">{}</div>', '<div class="sidebar-layout"><main>{}</main></div>'])
+def test_names_of_the_whole_page(page):
+    around = '<nav class="menu"><a href=/>Home</a> <a href=/b>More</a></nav>{}<div class="sidebar"><p>Related things that you may like to read one day.</p></div><div class="comments"><p>A reader wrote that the article is good.</p></div>'
+    assert html.main_text(page.format(around.format(ARTICLE))) == READ or "<main>" in page and html.main_text(page.format(ARTICLE)) == READ
+
+
+def test_a_page_of_very_many_blocks():
+    page = "<body><div class=menu>" + "<p><a href=/x>link</a></p>" * 2000 + "</div>" + "<p>A sentence that is read as part of the text, as it is long enough.</p>" * 5000 + "</body>"
+    text = html.main_text(page)
+    assert text.count("A sentence") == 5000 and "link" not in text
+
+
 def test_minimum_cut_against_brute_force():
     rng = random.Random(7)
     for _ in range(60):
