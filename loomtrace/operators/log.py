@@ -63,7 +63,8 @@ def summary(log: DataFrame) -> DataFrame:
         F.countDistinct("variant").alias("variants"),
         F.min("start_ts").alias("start_ts"),
         F.max("end_ts").alias("end_ts"),
-        F.coalesce(F.sum("duration_us"), F.lit(0)).alias("total_us"),
+        # Microseconds of many long cases exceed a long.
+        F.coalesce(F.sum(F.col("duration_us").cast("decimal(38,0)")), F.lit(0)).alias("total_us"),
     )
     names = log.agg(F.countDistinct("activity").alias("activities"), F.countDistinct(F.when(F.col("resource") != "", F.col("resource"))).alias("resources"))
     return whole.crossJoin(names).select(
