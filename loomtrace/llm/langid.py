@@ -1,13 +1,14 @@
 """Language identification with language-bitmask n-gram filters.
 
 Each language keeps a Bloom filter of the byte n-grams that are usual in it. The filters are bit-sliced: one table of
-64-bit masks per hash function, with bit ``k`` of a slot set if language ``k``'s filter has that slot, so one lookup
-per hash function and an AND return all languages that contain an n-gram. A text's n-grams are counted by language
-(popcounts of the masks' bits); each count is corrected for the false positives that the filter's fill makes expected,
-and the largest decides.
+masks per hash function, with bit ``k`` of a slot set if language ``k``'s filter has that slot, so one lookup per hash
+function and an AND return all languages that contain an n-gram. A mask is as wide as the languages need: one word of up
+to 64 bits, or several. A text's n-grams are counted by language (popcounts of the masks' bits); each count is corrected
+for the false positives that the filter's fill makes expected, and the largest decides.
 
 Which n-grams are usual is learned from a bounded sample of labelled rows, ``sample_per_language`` of each language,
-taken in the order of a hash of text: equal texts cannot crowd out others, as only one of them is taken.
+taken in the order of a hash of text: equal texts cannot crowd out others, as only one of them is taken. The filters are
+made as large as the n-grams of that sample need.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, unused
 
 N = 5
-#: Slots of each filter, as a power of two.
-SLOT_BITS = 21
+#: Slots of each filter for an n-gram of the language that has most, at least, and slots of the smallest filter.
+SLOTS_PER_GRAM = 4
+LEAST_BITS, MOST_BITS = 16, 32
 HASHES = 2
-MAX_LANGUAGES = 64
 _PIECE = 1 << 18
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -55,23 +56,25 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return packed ^ (packed >> np.uint64(32))
 
 
-def _slots(h: np.ndarray, k: int) -> np.ndarray:
+def _slots(h: np.ndarray, k: int, bits: int) -> np.ndarray:
     """The slot by hash function ``k``: its own bits of the hash, so that functions are independent."""
-    return ((h >> np.uint64(64 - SLOT_BITS * (k + 1))) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+    return ((h >> np.uint64(64 - bits * (k + 1))) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 @dataclass
 class Filters:
-    """Bit-sliced filters: ``tables[k][slot]`` is a mask of languages; ``false_rate[i]`` is that of language ``i``."""
+    """Bit-sliced filters: ``tables[k][slot]`` is a mask of languages, a row of words; ``false_rate[i]`` is that of
+    language ``i``; a filter has two to the power of ``bits`` slots."""
 
     languages: list[str]
     tables: list[np.ndarray] = field(default_factory=list)
     false_rate: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    bits: int = LEAST_BITS
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        out = self.tables[0][_slots(h, 0)]
+        out = self.tables[0][_slots(h, 0, self.bits)]
         for k in range(1, HASHES):
-            out = out & self.tables[k][_slots(h, k)]
+            out = out & self.tables[k][_slots(h, k, self.bits)]
         return out
 
     def shares(self, text: str) -> np.ndarray:
@@ -79,41 +82,65 @@ class Filters:
         data = np.frombuffer(folded(text), np.uint8)
         size = max(data.size - N + 1, 0)
         counts = np.zeros(len(self.languages))
+        width = 8 * self.tables[0].itemsize
         for at in range(0, size, _PIECE):  # a very long text is counted piece by piece
             masks = self.masks(gram_hashes(data[at : at + _PIECE + N - 1]))
             for i in range(len(self.languages)):
-                counts[i] += np.count_nonzero(masks & np.uint64(1 << i))
+                counts[i] += np.count_nonzero(masks[:, i // width] & masks.dtype.type(1 << i % width))
         corrected = (counts - size * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9)
         return np.clip(corrected / max(size, 1), 0, 1)
 
 
 def build(usual: dict[str, np.ndarray]) -> Filters:
-    """Filters from each language's n-gram hashes."""
+    """Filters from each language's n-gram hashes, of any number of languages."""
     languages = sorted(usual, key=lambda s: s.encode())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask holds {MAX_LANGUAGES}")
-    out = Filters(languages, [np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(HASHES)], np.zeros(len(languages)))
+    word = next((t for t in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * t().itemsize), np.uint64)
+    width = 8 * word().itemsize
+    largest = max((u.size for u in usual.values()), default=0)
+    bits = min(MOST_BITS, max(LEAST_BITS, (SLOTS_PER_GRAM * largest).bit_length()))
+    tables = [np.zeros((1 << bits, max(1, -(-len(languages) // width))), word) for _ in range(HASHES)]
+    out = Filters(languages, tables, np.zeros(len(languages)), bits)
     for i, name in enumerate(languages):
         rate = 1.0
         for k in range(HASHES):
-            slots = np.unique(_slots(usual[name], k))
-            out.tables[k][slots] |= np.uint64(1 << i)
-            rate *= slots.size / (1 << SLOT_BITS)
+            slots = np.unique(_slots(usual[name], k, bits))
+            tables[k][slots, i // width] |= word(1 << i % width)
+            rate *= slots.size / (1 << bits)
         out.false_rate[i] = rate
     return out
 
 
-def learn(labelled: DataFrame, sample_per_language: int = 1500, least_docs: int = 2, most_grams: int = 120_000) -> Filters:
+def _least_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """``lang, h``: the ``n`` least distinct hashes of each language of ``rows`` (``lang, h``).
+
+    Each task passes on no more than ``n`` of a language, and buckets of hashes are cut before languages are, so a
+    language of very many texts is no one task's.
+    """
+
+    def least(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in it:
+            coded = b.column("lang").dictionary_encode()
+            codes, hs = coded.indices.to_numpy(), b.column("h").to_numpy()
+            for code, name in enumerate(coded.dictionary.to_pylist()):
+                held[name] = np.unique(np.concatenate((held.get(name, hs[:0]), hs[codes == code])))[:n]
+        for name, hs in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * hs.size, pa.string()), pa.array(hs, pa.int64())], ["lang", "h"])
+
+    few = rows.mapInArrow(least, "lang string, h long").distinct()
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        few = few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("rank") <= n).drop("rank")
+    return few
+
+
+def learn(labelled: DataFrame, sample_per_language: int = 1500, least_docs: int = 2) -> Filters:
     """Filters from rows with ``text`` and ``lang``; rows with a null in either are not used.
 
     At most ``sample_per_language`` distinct texts of a language are read. An n-gram is usual in a language if at least
-    ``least_docs`` of them (1 if there are fewer than 20) have it; the ``most_grams`` that most texts have are kept.
+    ``least_docs`` of them (1 if there are fewer than 20) have it.
     """
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    # Ranked before texts join, and cut to the first rows of each partition before the shuffle.
-    chosen = rows.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= sample_per_language)
-    taken = rows.join(F.broadcast(chosen.drop("rank")), ["lang", "h"])  # rows: languages x sample_per_language
+    rows = labelled.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("h"))
+    taken = rows.join(F.broadcast(_least_hashes(rows.select("lang", "h"), sample_per_language)), ["lang", "h"])  # rows: languages x sample_per_language
 
     def grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -126,10 +153,10 @@ def learn(labelled: DataFrame, sample_per_language: int = 1500, least_docs: int
     totals = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     counted = seen.select("lang", F.explode("grams").alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     kept = counted.join(F.broadcast(totals), "lang").where(F.col("n") >= F.when(F.col("n_docs") < 20, 1).otherwise(least_docs))
-    best = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= most_grams)
-    arrow = best.select("lang", "gram").toArrow()  # rows: languages x most_grams
-    names, found = np.array(arrow.column("lang").to_pylist(), dtype=object), arrow.column("gram").to_numpy().view(np.uint64)
-    return build({name: found[names == name] for name in set(names.tolist())})
+    arrow = kept.select("lang", "gram").toArrow()  # bounded by the sample's texts
+    names, found = arrow.column("lang").combine_chunks().dictionary_encode(), arrow.column("gram").to_numpy().view(np.uint64)
+    codes = (names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names).indices.to_numpy()
+    return build({name: found[codes == i] for i, name in enumerate(names.dictionary.to_pylist())})
 
 
 def predict(text: str | None, filters: Filters) -> tuple[str, float]:
@@ -151,15 +178,16 @@ def identify(docs: DataFrame, filters: Filters, lang_col: str = "lang_pred", sco
     Rows may repeat and any column may be null; an empty table gives no rows. Columns of ``docs`` with the new names
     are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # its size is set by SLOT_BITS and HASHES
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # as large as the sample's n-grams and the languages need
 
     @F.pandas_udf("lang string, score double")
     def judged(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in it:
             yield pd.DataFrame([predict(t, sent.value) for t in texts], columns=["lang", "score"])
 
-    judged_ = docs.drop(lang_col, score_col).withColumn("__judged", judged("text"))
-    return judged_.withColumn(lang_col, F.col("__judged.lang")).withColumn(score_col, F.col("__judged.score")).drop("__judged")
+    (both,) = unused(docs, "__judged")
+    others = [c for c in docs.columns if c.lower() not in (lang_col.lower(), score_col.lower())]
+    return docs.withColumn(both, judged("text")).select(*others, F.col(both)["lang"].alias(lang_col), F.col(both)["score"].alias(score_col))
 
 
 def n_grams(text: str | None) -> int:
@@ -178,6 +206,11 @@ def count_n_grams(text: Column) -> Column:
     return counted(text)
 
 
-def held_out(fold: int = 2, of: int = 4):
-    """The rows whose labels are never learned."""
-    return crc_of_id("doc_id") % of == fold
+def held_out(fold: int = 2, of: int = 4) -> Column:
+    """The rows whose labels are never learned; false for a null id, which :func:`learnable` leaves out too."""
+    return F.coalesce(crc_of_id("doc_id") % of == fold, F.lit(False))
+
+
+def learnable(fold: int = 2, of: int = 4) -> Column:
+    """The rows whose labels may be learned: of a known id outside the fold."""
+    return F.col("doc_id").isNotNull() & ~held_out(fold, of)
