@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import cut, shared_dir
 
-__all__ = ["WORD", "crc_of_id", "cut", "n_words", "shared_dir", "spool", "table", "uniform"]
+__all__ = ["WORD", "crc_of_id", "cut", "n_words", "shared_dir", "spool", "table", "uniform", "unused"]
 
 #: Words of the corpus are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_of_id(col: str | Column) -> Column:
     """CRC-32 of an id written as text, on which folds are dealt."""
     return F.crc32(F.col(col).cast("string").cast("binary") if isinstance(col, str) else col.cast("string").cast("binary"))

@@ -12,8 +12,9 @@ from .common import cut
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """The least neighbour of each ``a``."""
-    return edges.groupBy("a").agg(F.min("b").alias("m"))
+    """The least neighbour of each ``a``, stored: a join of two plain shuffles can be split where a node has very many
+    neighbours, one with an aggregate on it cannot."""
+    return cut(edges.groupBy("a").agg(F.min("b").alias("m")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,8 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        # Sums of 31-bit hashes tell two edge lists apart.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0x7FFFFFFF)))).first()
+        # Sums of two independent 64-bit hashes tell two edge lists apart.
+        now = edges.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64("a", "b", F.lit(salt)).cast("decimal(38,0)")) for salt in (1, 2)]).first()
         if now == state or not now[0]:
             break
         state = now

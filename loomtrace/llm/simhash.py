@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 from .components import components
 
 SEED = 42
@@ -105,8 +105,9 @@ def links(fps: DataFrame, large: int = LARGE_ENTRY) -> DataFrame:
     unset = F.filter(bits, lambda i: F.getbit(value, i) == 0)
     ball = F.transform(unset, lambda i: value.bitwiseOR(F.expr("1L").cast("long") * F.pow(F.lit(2), i).cast("long")))
     probes = fps.select(F.col("fp").alias("a"), F.explode(ball).alias("value"))
-    near = probes.join(high, "value").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-    near_small = near.join(big_high, "value", "left_anti").select("a", "b")
+    # Large entries are taken out of both sides before they meet, as none of their pairs may be made.
+    small = lambda side: side.join(big_high, "value", "left_anti")
+    near_small = small(probes).join(small(high), "value").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
     same = filled.where("not big")
     paired = same.alias("x").join(same.alias("y"), ["seg", "value"]).where("x.fp < y.fp").where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= 2).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     # Entries of many fingerprints: points of balls about the other segment.
@@ -148,9 +149,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     ``docs`` must be a stored table: rows are told apart by their place in its scan. All columns stay as they are.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    marked = cut(fingerprints(placed, "doc_id", "__row"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
+    (row,) = unused(docs, "__row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    marked = cut(fingerprints(placed, "doc_id", row))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))
     firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    kept = _clusters(marked).join(firsts, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return placed.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = _clusters(marked).join(firsts, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return placed.join(kept, row, "left_semi").select(*docs.columns)
