@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,8 @@ _AS_BOUNDARY = 2.0
 _DROP_SIGN = 4.0
 _DROP_SEPARATOR = 0.1
 _KEEP_SEPARATOR = 2.5
+#: White space between pieces of several letters: dropped, kept.
+_GAP_OF_PIECES = (2.5, 0.0)
 _DROP_REPEAT = {2: 2.0, 3: 0.3}
 _KEEP_REPEAT = {2: 0.0, 3: 1.5}
 #: States times options of a step that are looked at one by one; more are taken as arrays.
@@ -84,7 +87,7 @@ _EDGE = ".,;:?!\"'()[]{}&%#*$~`-_/\\<>=+|"
 _SIGNS = frozenset(LOOKALIKES)
 _REPEATED = re.compile(r"([a-z])\1")
 #: Runs of three or more single signs, each parted from the next by white space.
-_SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _GAP = re.compile(r"[\s._\-~/]+")
 
 
@@ -135,11 +138,12 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(np.maximum(p, 1e-12)).ravel().astype(np.float32)
 
 
-def _lattice(token: str, native: bool = False) -> list[tuple[tuple[int | None, float], ...]]:
+def _lattice(token: str, native: bool = False, gap: tuple[float, float] = (_DROP_SEPARATOR, _KEEP_SEPARATOR)) -> list[tuple[tuple[int | None, float], ...]]:
     """For each sign of a token, what it may stand for: (symbol, or None for nothing; cost).
 
     Bytes of other letters stand for themselves; the model knows them as ``OTHER``. So do
-    letters that look like ASCII ones where the token is read in its ``native`` script.
+    letters that look like ASCII ones where the token is read in its ``native`` script. ``gap`` has the costs of
+    dropping and of keeping a separator.
     """
     out: list[tuple[tuple[int | None, float], ...]] = []
     previous, run = "", 0
@@ -159,7 +163,7 @@ def _lattice(token: str, native: bool = False) -> list[tuple[tuple[int | None, f
             repeat = ((None, _DROP_REPEAT[3]),) if run > 1 else ()
             out.append((*((ord(x) - 96, cost) for x in letters), (0, _AS_BOUNDARY), (None, _DROP_SIGN), *repeat))
         elif ch.isspace() or not ch.isalnum():
-            out.append(((None, _DROP_SEPARATOR), (0, _KEEP_SEPARATOR)))
+            out.append(((None, gap[0]), (0, gap[1])))
         else:
             out += [((byte, 0.0),) for byte in ch.encode("utf-8", "replace")]
     return out
@@ -309,6 +313,21 @@ class Scorer:
     curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0, 0.0]))
     plain: dict[bytes, bytes] = field(default_factory=dict)
 
+    def in_pieces(self, text: str) -> set[bytes]:
+        """Weighted words that a lower-case text writes in two or three pieces, where the decoder reads them as one."""
+        ws = folded(text)
+        twos = list(map(add, ws, ws[1:]))
+        hits = (self.weights.keys() & set(twos)) | (self.weights.keys() & set(map(add, twos, ws[2:])))
+        out: set[bytes] = set()
+        for w in hits:
+            for i in range(len(ws) - 1):
+                if w.startswith(ws[i]) and ws[i] != w:
+                    pieces = next((ws[i : i + n] for n in (2, 3) if b"".join(ws[i : i + n]) == w), None)
+                    if pieces and w in _decoded(_lattice(b" ".join(pieces).decode("utf-8", "replace"), gap=_GAP_OF_PIECES), self.model):
+                        out.add(w)
+                        break
+        return out
+
     def restored(self, words: tuple[bytes, ...] | list[bytes]) -> list[tuple[bytes, float]]:
         """Restored words that have a weight."""
         if not self.plain:
@@ -347,6 +366,7 @@ class Scorer:
             if hit:
                 found.update(hit)
         found.update(self.restored(list(hidden_words(text, tokens, self.model, spaced))))
+        found.update((w, self.weights[w]) for w in self.in_pieces(text) - found.keys())
         return self.probability(list(found.values()))
 
 
@@ -366,13 +386,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words: int = 20_000, fold: int = 0, of: int = 5) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, fold: int = 0, of: int = 5) -> Scorer:
     """A scorer from the ``toxic`` labels of documents outside the held-out fold.
 
     At most ``sample`` labelled documents are read, in the order of a hash of their id; of equal texts one counts. One
     half of them gives the words' weights (log-odds of being in a toxic text), the other the curve. Nulls in ids,
-    labels or texts leave a row out; of several labels for one document the greatest counts. Without labels of both
-    kinds, every text gets the same score.
+    labels or texts leave a row out; of several labels for one document or one text the greatest counts. Without labels
+    of both kinds, every text gets the same score.
     """
     model = language_model(docs)
     known = labels.where("doc_id is not null and toxic is not null").where(crc_of_id("doc_id") % of != fold)
@@ -392,7 +412,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words:
 
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     read_ = rows.select(F.xxhash64("text").alias("h"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(read, "h long, toxic int, words array<string>")
-    kept = spool(read_.dropDuplicates(["h"])).withColumn("half", F.pmod(F.hash("h"), F.lit(2)))
+    kept = spool(read_.groupBy("h").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))).withColumn("half", F.pmod(F.hash("h"), F.lit(2)))
     sizes = {(r.half, r.toxic): r.n for r in kept.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get((0, 1), 0), sizes.get((0, 0), 0)
     if not n1 or not n0:
@@ -406,11 +426,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words:
         .withColumn("weight", F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1)))
         .where("weight > 1.0")
     )
-    best = odds.orderBy(F.desc("weight"), "word").limit(most_words).select("word", "weight").toArrow()  # rows: most_words
+    best = odds.select("word", "weight").toArrow().sort_by([("weight", "descending"), ("word", "ascending")])  # bounded by the sample's texts
     weights = dict(zip((w.encode() for w in best.column("word").to_pylist()), best.column("weight").to_pylist(), strict=True))
     lexicon = spark.createDataFrame(best) if best.num_rows else spark.createDataFrame([], "word string, weight double")
     hits = kept.where("half = 1").select("h", F.explode("words").alias("word")).join(F.broadcast(lexicon), "word").groupBy("h").agg(F.collect_list("weight").alias("ws"))
-    seen = kept.where("half = 1").select("h", "toxic").join(hits, "h", "left").select("toxic", F.coalesce("ws", F.array().cast("array<double>")).alias("ws")).toArrow()  # rows: sample
+    seen = kept.where("half = 1").select("h", "toxic").join(hits, "h", "left").select("h", "toxic", F.coalesce("ws", F.array().cast("array<double>")).alias("ws")).toArrow().sort_by("h")  # rows: sample
     x = np.array([Scorer.features(ws) for ws in seen.column("ws").to_pylist()]).reshape(-1, 3)
     y = seen.column("toxic").to_numpy().astype(float)
     out = Scorer(model, weights)
@@ -425,7 +445,7 @@ def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
     Null and empty texts get the score of a text without any weighted word. Rows may repeat, other columns may be
     null, and an empty table gives no rows. A column of the same name is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded: the model's table and most_words
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded: the model's table and the sample's words
 
     @F.pandas_udf("double")
     def judged(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
