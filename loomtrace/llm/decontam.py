@@ -7,7 +7,7 @@ in both texts; the share of the item's words that tiles cover is its coverage. T
 put in another order are still covered.
 
 Every tile consists of seeds, so only words of the document inside seeds of that item are tiled; other words cannot
-be in a tile.
+be in a tile. An item of fewer words than a seed is met only by a document that consists of just its words.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_MATCH = 5
@@ -27,7 +27,6 @@ COVERAGE = 0.5
 BLOCK_BYTES = 16 << 20
 _BLOOM_BITS = 22
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
-_BASE, _MODULUS = 1_000_003, (1 << 61) - 1
 _B1 = 0x9E3779B97F4A7C15
 _B2 = 0xC2B2AE3D27D4EB4F
 
@@ -88,173 +87,210 @@ def seed_hashes(h: np.ndarray, size: int = MIN_MATCH) -> np.ndarray:
     return _mixed(out)
 
 
-def _runs(free: list[bool], least: int) -> Iterator[tuple[int, int]]:
-    """Maximal runs of unmarked places with at least ``least`` of them, as (start, end)."""
-    start = None
-    for i, ok in enumerate([*free, False]):
-        if ok and start is None:
-            start = i
-        elif not ok and start is not None:
-            if i - start >= least:
-                yield start, i
-            start = None
-
-
-def _windows(seq: list[int], free: list[bool], s: int) -> Iterator[tuple[int, int]]:
-    """(hash, start) of each unmarked window of length ``s``, by a running Karp-Rabin hash."""
-    top = pow(_BASE, s - 1, _MODULUS)
-    for a, b in _runs(free, s):
-        h = 0
-        for x in seq[a : a + s]:
-            h = (h * _BASE + x) % _MODULUS
-        yield h, a
-        for i in range(a + 1, b - s + 1):
-            h = ((h - seq[i - 1] * top) * _BASE + seq[i + s - 1]) % _MODULUS
-            yield h, i
-
-
-def tile(pattern: list[int], text: list[int], least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Tiles (pattern start, text start, length) of greedy string tiling, longest first.
-
-    Marks the longest matches of unmarked words in both, of those of one length the first in the pattern, then in the
-    text; no tile is shorter than ``least``.
+class _Sequence:
+    """Word hashes with marks, and running Karp-Rabin hashes of its windows from prefix sums modulo 2^64."""
+
+    def __init__(self, x: np.ndarray, marked: np.ndarray | None = None):
+        self.x = x
+        self.marked = np.zeros(x.size, bool) if marked is None else marked
+        up, self._down = _powers(_B2) if x.size <= _PIECE else _inverse_powers(x.size + 1, _B2)
+        self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up[: x.size], dtype=np.uint64)))
+        self.settle()
+
+    def settle(self) -> None:
+        """Take new marks into account."""
+        self._taken = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.marked)))
+
+    def windows(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the unmarked windows of length ``s`` and their hashes."""
+        n = self.x.size - s + 1
+        if n < 1:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        at = np.flatnonzero(self._taken[s:] == self._taken[:n])
+        return at, (self._sums[at + s] - self._sums[at]) * self._down[at]
+
+    def free(self, i: int, s: int) -> bool:
+        """Whether a window that was unmarked before tiles of its own length ``s`` were marked still is."""
+        return not (self.marked[i] or self.marked[i + s - 1])
+
+
+def _meet(p: _Sequence, t: _Sequence, s: int) -> bool:
+    ours, theirs = p.windows(s)[1], t.windows(s)[1]
+    if not ours.size or not theirs.size:
+        return False
+    ours = np.sort(ours)
+    return bool((ours[np.minimum(np.searchsorted(ours, theirs), ours.size - 1)] == theirs).any())
+
+
+def _longest(p: _Sequence, t: _Sequence, least: int, most: int) -> int:
+    """The greatest length from ``least`` to ``most`` of which unmarked windows of both have a hash in common, or 0.
+
+    Windows that meet hold shorter ones that meet, so lengths are doubled and then halved.
+    """
+    if most < least or not _meet(p, t, least):
+        return 0
+    low, high = least, most + 1
+    while low + 1 < high:
+        s = min(2 * low, (low + high) // 2) if high == most + 1 else (low + high) // 2
+        if _meet(p, t, s):
+            low = s
+        else:
+            high = s
+    return low
+
+
+def tile(pattern: np.ndarray, text: np.ndarray, least: int = MIN_MATCH, blocked: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Tiles (pattern start, text start, length) of greedy string tiling of two arrays of word hashes, longest first.
+
+    Again and again the longest match of unmarked words is marked, of those of one length the first in the pattern,
+    then in the text; no tile is shorter than ``least``. ``blocked`` places of the text are in no tile. A level of one
+    length takes time in proportion to both sequences, however often the text repeats what the pattern has.
     """
-    free_p, free_t = [True] * len(pattern), [True] * len(text)
+    p, t = _Sequence(pattern), _Sequence(text, None if blocked is None else blocked.copy())
     tiles: list[tuple[int, int, int]] = []
-    s = min(len(pattern), len(text))
-    while s >= least:
-        places = defaultdict(list)
-        for h, i in _windows(text, free_t, s):
-            places[h].append(i)
-        found: list[tuple[int, int, int]] = []
-        longest = 0
-        for h, p in _windows(pattern, free_p, s):
-            for t in places.get(h, ()):
-                k = 0
-                while p + k < len(pattern) and t + k < len(text) and free_p[p + k] and free_t[t + k] and pattern[p + k] == text[t + k]:
-                    k += 1
-                if k >= s:
-                    found.append((k, p, t))
-                    longest = max(longest, k)
-        if longest > 2 * s:  # much longer matches than looked for: start again with their length
-            s = longest
-            continue
-        again = False
-        for k, p, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if all(free_p[p : p + k]) and all(free_t[t : t + k]):
-                tiles.append((p, t, k))
-                free_p[p : p + k] = free_t[t : t + k] = [False] * k
-            else:
-                again = True  # part of it is marked; what is left may still be long enough
-        if again and any(True for _ in _runs(free_p, s)):
-            rest = _longest_left(pattern, text, free_p, free_t, s)
-            if rest:
+    s = _longest(p, t, least, min(pattern.size, text.size))
+    while s:
+        starts, hashes = p.windows(s)
+        at, theirs = t.windows(s)
+        met = np.isin(theirs, hashes)
+        places: dict[int, list[int]] = defaultdict(list)
+        for h, j in zip(theirs[met].tolist(), at[met].tolist(), strict=True):
+            places[h].append(j)
+        begun: dict[int, int] = {}  # places before it are marked, and stay so
+        for i, h in zip(starts.tolist(), hashes.tolist(), strict=True):
+            if h not in places or not p.free(i, s):
                 continue
-        s = s // 2 if s > 2 * least else least if s > least else 0
+            k = begun.get(h, 0)
+            while k < len(places[h]) and not t.free(places[h][k], s):
+                k += 1
+            begun[h] = k
+            for j in places[h][k:]:
+                if t.free(j, s) and np.array_equal(p.x[i : i + s], t.x[j : j + s]):
+                    tiles.append((i, j, s))
+                    p.marked[i : i + s] = t.marked[j : j + s] = True
+                    break
+        p.settle()
+        t.settle()
+        s = _longest(p, t, least, s - 1)
     return tiles
 
 
-def _longest_left(pattern: list[int], text: list[int], free_p: list[bool], free_t: list[bool], s: int) -> bool:
-    """Whether an unmarked match of length ``s`` is left."""
-    places = defaultdict(list)
-    for h, i in _windows(text, free_t, s):
-        places[h].append(i)
-    return any(pattern[p : p + s] == text[t : t + s] for h, p in _windows(pattern, free_p, s) for t in places.get(h, ()))
-
-
 class Items:
-    """Benchmark items of one block, with an index of their seeds."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids, self.hashes = [], []
-        owners: dict[int, set[int]] = defaultdict(set)
-        self.short: dict[int, set[int]] = defaultdict(set)
-        for item_id, text in items:
+    """Benchmark items of one block, given as (key, text), with an index of their seeds."""
+
+    def __init__(self, items: list[tuple[object, str | None]]):
+        self.keys_of: list[object] = []
+        self.hashes: list[np.ndarray] = []
+        self.seeds: list[np.ndarray] = []
+        owners: dict[int, list[int]] = defaultdict(list)
+        self.short: dict[bytes, list[int]] = defaultdict(list)
+        for key, text in items:
             h = word_hashes(words(text))
             if not h.size:
                 continue
-            n = len(self.ids)
-            self.ids.append(item_id)
+            n = len(self.keys_of)
+            self.keys_of.append(key)
             self.hashes.append(h)
-            if h.size < MIN_MATCH:  # its seed is the whole item
-                self.short[h.size].add(n)
-            for x in seed_hashes(h, min(MIN_MATCH, h.size)).tolist():
-                owners[x].add(n)
-        self.owners = {k: tuple(sorted(v)) for k, v in owners.items()}
-        keys = np.array(sorted(self.owners), np.uint64)
-        self.keys = keys
+            self.seeds.append(seed_hashes(h))
+            if h.size < MIN_MATCH:
+                self.short[h.tobytes()].append(n)
+            for x in np.unique(self.seeds[-1]).tolist():
+                owners[x].append(n)
+        self.owners = dict(owners)
+        self.keys = np.array(sorted(self.owners), np.uint64)
         self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
-        self.bloom[(keys >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)] = True
-        self.sizes = sorted({MIN_MATCH, *self.short})
+        self.bloom[(self.keys >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of a document's seeds of ``size`` words that items have, and the seeds."""
-        seeds = seed_hashes(h, size)
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of a document's seeds that items have, and the seeds."""
+        seeds = seed_hashes(h)
         at = np.flatnonzero(self.bloom[(seeds >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)])
         if at.size and self.keys.size:
             place = np.minimum(np.searchsorted(self.keys, seeds[at]), self.keys.size - 1)
             at = at[self.keys[place] == seeds[at]]
         return at, seeds[at]
 
-    def coverages(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item, coverage, tiles, words covered) of each item that shares a seed with a text."""
+    def coverages(self, text: str | None, least: float = 0.0) -> list[tuple[int, float, int, int]]:
+        """(item, coverage, tiles, words covered) of each item that shares a seed with a text and is covered by at least
+        the share ``least``. An item shorter than a seed is met only by a text that has its words and no others."""
         h = word_hashes(words(text))
-        where: dict[int, list[int]] = defaultdict(list)
-        for size in self.sizes:
-            at, seeds = self.hits(h, size)
-            for i, x in zip(at.tolist(), seeds.tolist(), strict=True):
-                for item in self.owners[x]:
-                    if min(MIN_MATCH, self.hashes[item].size) == size:
-                        where[item].append(i)
+        if h.size < MIN_MATCH:
+            return [(n, 1.0, 1, h.size) for n in self.short.get(h.tobytes(), ())] if h.size else []
+        at, seeds = self.hits(h)
+        if not at.size:
+            return []
+        order = np.argsort(seeds, kind="stable")
+        found, first = np.unique(seeds[order], return_index=True)
+        places = dict(zip(found.tolist(), np.split(at[order], first[1:]), strict=True))
+        of_item: dict[int, list[int]] = defaultdict(list)
+        for x in found.tolist():
+            for item in self.owners[x]:
+                of_item[item].append(x)
         out = []
-        for item, starts in sorted(where.items()):
-            own = self.hashes[item]
-            size = min(MIN_MATCH, own.size)
-            # Words of the document inside seeds of this item; a separator that no word equals parts the runs.
-            segments: list[int] = []
-            last = -1
-            for i in sorted(starts):
-                if i > last:
-                    segments.append(-1 - len(segments))
-                segments += h[max(i, last) : i + size].tolist()
-                last = i + size
-            tiles = tile(own.tolist(), segments, size)
+        for item, own in sorted(of_item.items()):
+            pattern = self.hashes[item]
+            # Tiles consist of seeds, so they cover no more of the item than its seeds that the text has.
+            if _covered(np.flatnonzero(np.isin(self.seeds[item], np.array(own, np.uint64))), pattern.size).sum() < least * pattern.size:
+                continue
+            # Words of the document inside seeds of this item; a blocked place parts the runs.
+            inside = np.flatnonzero(_covered(np.concatenate([places[x] for x in own]), h.size))
+            gaps = np.flatnonzero(np.diff(inside) > 1) + 1
+            tiles = tile(pattern, np.insert(h[inside], gaps, np.uint64(0)), MIN_MATCH, np.insert(np.zeros(inside.size, bool), gaps, True))
             covered = sum(k for _, _, k in tiles)
-            out.append((item, covered / own.size, len(tiles), covered))
+            if covered >= least * pattern.size:
+                out.append((item, covered / pattern.size, len(tiles), covered))
         return out
 
 
+def _covered(starts: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` words are inside the seeds at ``starts``."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, np.minimum(starts + MIN_MATCH, n), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _in_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """(key, text) of the distinct texts of ``benchmark``, in blocks of about ``block_bytes``."""
+    texts = benchmark.where("text is not null").select("text").distinct().select(_key(), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-size // block_bytes))
+    for k in range(n_blocks):
+        yield [tuple(r) for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).collect()]  # of about block_bytes
+
+
+def _key() -> Column:
+    return F.sha2(F.col("text").cast("binary"), 256).alias("key")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of documents and benchmark items whose coverage reaches ``threshold``.
 
     ``docs`` has ``doc_id, text``, ``benchmark`` has ``item_id, text``; other columns are not read. Returns ``doc_id,
-    item_id, coverage, n_tiles, n_words`` (words covered). Null and empty texts match nothing; an item of fewer than
-    five words matches only as a whole. Repeated rows give repeated results; null ids are kept. Either table may be
-    empty.
+    item_id, coverage, n_tiles, n_words`` (words covered). Null and empty texts match nothing. An item of fewer than
+    five words holds no seed, and such words stand in any text: it matches only documents of just these words.
+    Repeated rows of either table give repeated results; null ids are kept. Either table may be empty.
 
-    The benchmark is read in blocks of about ``block_bytes``, dealt by a hash of its text, so what is sent to the
-    executors at once is bounded however large it is.
+    The distinct texts of the benchmark are read in blocks of about ``block_bytes``, dealt by a hash, so what is sent
+    to the executors at once is bounded however large it is; a text that many items share is read once.
     """
     spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
     out = None
-    for k in range(n_blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).select("item_id", "text")
-        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # of about block_bytes
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    for block in _in_blocks(benchmark, block_bytes):
+        sent = spark.sparkContext.broadcast(block)
 
         def scan(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value)
             for b in it:
-                rows = [(d, items.ids[i], c, n, w) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for i, c, n, w in items.coverages(t.as_py()) if c >= threshold]
+                rows = [(d, items.keys_of[i], c, n, w) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for i, c, n, w in items.coverages(t.as_py(), threshold)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (b.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "coverage", "n_tiles", "n_words"])
+                kinds = (b.schema.field("doc_id").type, pa.string(), pa.float64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "key", "coverage", "n_tiles", "n_words"])
 
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        found = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, item_id long, coverage double, n_tiles int, n_words int")
+        found = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, key string, coverage double, n_tiles int, n_words int")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.join(benchmark.where("text is not null").select("item_id", _key()), "key").select("doc_id", "item_id", "coverage", "n_tiles", "n_words")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -263,16 +299,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, bl
     Null ids, null texts, repeated rows and empty tables are allowed: a row is judged by its own text.
     """
     spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    for k in range(n_blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).select("item_id", "text")
-        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # of about block_bytes
+    for block in _in_blocks(benchmark, block_bytes):
+        sent = spark.sparkContext.broadcast(block)
 
         def keep(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value)
             for b in it:
-                yield b.filter(pa.array([all(c < threshold for _, c, _, _ in items.coverages(t.as_py())) for t in b.column("text")], pa.bool_()))
+                yield b.filter(pa.array([not items.coverages(t.as_py(), threshold) for t in b.column("text")], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
