@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import spool, unused
 
 #: The round function works modulo this prime, the largest below 2^31.
 PRIME = 2147483647
@@ -65,24 +65,26 @@ def feistel_sql(x: str, n_bits: str, seed: int) -> str:
     return f"(select (l << {n_bits}) | r from {sql})"
 
 
-def numbered(df: DataFrame, keys: list[str], number: str = "row_number") -> DataFrame:
-    """``df`` with global row numbers from 0 in the order of ``keys``, nulls first, without a single-task sort.
+def numbered(df: DataFrame, keys: list[str], number: str = "row_number") -> tuple[DataFrame, str, int]:
+    """``df`` with global row numbers from 0 in the order of ``keys``, nulls first, without a single-task sort; the
+    name of the column that has them, ``number`` or, where it is taken, one like it; and the number of rows.
 
     Rows are sorted by ranges, stored with their range and place, and numbered by the counts of earlier ranges. Rows
     equal in all keys are numbered in any order; a last key spreads a large group of them over ranges.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.withColumn("__spread", F.monotonically_increasing_id())
-    order = [*keys, "__spread"]
-    placed = spread.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    place = F.monotonically_increasing_id()
-    placed = spool(placed.withColumn("__range", F.shiftright(place, 33)).withColumn("__place", place.bitwiseAND(F.lit((1 << 33) - 1))).drop("__spread"))
-    base, total = {}, 0
-    for r, n in sorted(placed.groupBy("__range").count().collect()):  # a row for each range
-        base[r], total = total, total + n
-    offset = F.element_at(F.create_map(*[F.lit(v) for kv in base.items() for v in kv]).cast("map<bigint,bigint>"), F.col("__range")) if base else F.lit(0).cast("long")
-    return placed.withColumn(number, offset + F.col("__place")).withColumn("__total", F.lit(total).cast("long")).drop("__range", "__place")
+    number, spread, range_, place = unused(df, number, "__spread", "__range", "__place")
+    order = [*keys, spread]
+    placed = df.withColumn(spread, F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    placed = spool(placed.withColumn(range_, F.shiftright(at, 33)).withColumn(place, at.bitwiseAND(F.lit((1 << 33) - 1))).drop(spread))
+    before, total = [], 0
+    for r, n in sorted(placed.groupBy(range_).count().collect()):  # a row for each range, one a shuffle partition
+        before.append((r, total))
+        total += n
+    offsets = spark.createDataFrame(before, f"{range_} long, __before long")
+    return placed.join(F.broadcast(offsets), range_).withColumn(number, F.col("__before") + F.col(place)).drop(range_, place, "__before"), number, total
 
 
 def deal(df: DataFrame, keys: list[str], n_shards: int = 24, seed: int = 7) -> DataFrame:
@@ -93,15 +95,12 @@ def deal(df: DataFrame, keys: list[str], n_shards: int = 24, seed: int = 7) -> D
     are replaced.
     """
     df = df.drop("shard", "slot")
-    rows = numbered(df, keys, "__number")
+    rows, number, total = numbered(df, keys, "__number")
+    (image,) = unused(rows, "__image")
 
     @F.pandas_udf("long")
-    def images(number: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series(permute(number.to_numpy(), int(total.iloc[0]), seed)) if len(number) else number
-
-    return (
-        rows.withColumn("__image", images("__number", "__total"))
-        .withColumn("shard", (F.col("__image") % n_shards).cast("int"))
-        .withColumn("slot", F.expr(f"__image div {n_shards}"))
-        .drop("__image", "__number", "__total")
-    )
+    def images(numbers: pd.Series) -> pd.Series:
+        return pd.Series(permute(numbers.to_numpy(), total, seed))
+
+    dealt = rows.withColumn(image, images(number))
+    return dealt.select(*df.columns, (F.col(image) % n_shards).cast("int").alias("shard"), F.expr(f"`{image}` div {n_shards}").alias("slot"))
