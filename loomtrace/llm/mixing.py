@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, uniform
+from .common import cut, n_words, uniform, unused
 
 
 def source_targets(sized: DataFrame, max_copies: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -107,7 +107,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``docs`` must be a stored table: rows meet their copies by their place in its scan. All columns stay as they are.
     A document without words has nothing to take; it stays once, as no weight bears on it.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    counts = mix(placed, carry=("__row",), **options)
-    counts = counts.select("__row", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("__copies")).where("__copies > 0")
-    return placed.join(counts, "__row").withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    row, copies, each = unused(docs, "__row", "__copies", "__each")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    counts = mix(placed, carry=(row,), **options)
+    counts = counts.select(row, F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias(copies)).where(F.col(copies) > 0)
+    return placed.join(counts, row).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
