@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm import decontam, langid, mixing, sharding, simhash
-from loomtrace.llm.common import spool, table
+from loomtrace.llm.common import spool, table, unused
 
 #: Documents of which less than this share of n-grams is usual in the best language are in none that is known.
 LEAST_LANGUAGE = 0.3
@@ -21,11 +21,12 @@ N_SHARDS = 24
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters go, and those in no known language if long enough to tell."""
-    judged = langid.identify(docs, langid.learn(docs.where(~langid.held_out())), "__lang", "__score")
-    low = F.col("__score") < LEAST_LANGUAGE
+    lang, score, grams = unused(docs, "__lang", "__score", "__grams")
+    judged = langid.identify(docs, langid.learn(docs.where(langid.learnable())), lang, score)
+    low = F.col(score) < LEAST_LANGUAGE
     # Only texts below the share are counted.
-    counted = judged.where(F.col("__lang") != langid.UNDETERMINED).withColumn("__grams", langid.count_n_grams(F.when(low, F.col("text"))))
-    return counted.where(~low | (F.col("__grams") < LEAST_GRAMS)).drop("__lang", "__score", "__grams")
+    counted = judged.where(F.col(lang) != langid.UNDETERMINED).withColumn(grams, langid.count_n_grams(F.when(low, F.col("text"))))
+    return counted.where(~low | (F.col(grams) < LEAST_GRAMS)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in shuffled order: the columns of ``documents``, ``shard`` and ``slot``."""
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    return sharding.deal(keyed, ["doc_id", "__text"], N_SHARDS).drop("__text")
+    """Documents in shuffled order: the columns of ``documents``, ``shard`` and ``slot``.
+
+    Rows are numbered by id and by a hash of all columns, so only rows equal in all of them change places in a rerun.
+    """
+    (row,) = unused(docs, "__row")
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    return sharding.deal(keyed, ["doc_id", row], N_SHARDS).select(*docs.columns, "shard", "slot")
 
 
 STAGES = [
