@@ -48,6 +48,22 @@ def test_hidden_words_are_found(scorer, form):
     assert hits >= len(BAD) - 1
 
 
+@pytest.mark.parametrize("form", ["i    d    i    o    t", "id iot", "idi ot", "idi.ot", "i-diot", "m o\nr o\nn", "mor on", "pat he tic"])
+def test_spacing_of_any_kind(scorer, form):
+    assert scorer.score(prose(random.Random(17), 50, [form]), {}, {}) >= 0.5
+
+
+def test_equal_texts_with_other_labels(spark):
+    """Of the labels of one text the greatest counts, whatever the order of rows."""
+    rng = random.Random(19)
+    docs = [(i, prose(rng, 30, ["scum"] if i % 3 == 0 else ())) for i in range(300)]
+    docs += [(1000 + i, t) for i, t in docs]
+    labels = [(i, int(i % 3 == 0)) for i in range(300)] + [(1000 + i, 0) for i in range(300)]
+    make = lambda d: toxicity.learn(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    one, two = make(docs), make(docs[::-1])
+    assert one.weights == two.weights and (one.curve == two.curve).all() and b"scum" in one.weights
+
+
 def test_clean_and_odd_texts(scorer):
     rng = random.Random(3)
     clean = [prose(rng, 80) + " the&&& THE!! a$$$ of%%% 108.51.216.133 mail.7@a.example version 3." for _ in range(40)]
@@ -104,6 +120,46 @@ def test_false_positives_are_taken_out():
     assert filters.false_rate[0] > 0.01 and filters.shares(text).max() < 0.01
 
 
+def test_any_number_of_languages():
+    rng = np.random.default_rng(6)
+    texts = {f"l{i:02}": "".join(chr(97 + x) for x in rng.integers(0, 26, 3000)) for i in range(70)}
+    grams = {k: np.unique(langid.gram_hashes(np.frombuffer(langid.folded(t), np.uint8))) for k, t in texts.items()}
+    filters = langid.build(grams)
+    assert filters.tables[0].shape[1] == 2 and len(filters.languages) == 70
+    assert all(langid.predict(t[500:1500], filters)[0] == k for k, t in texts.items())
+
+
+def test_filters_against_exact_sets(spark):
+    """Corrected shares are near those of exact sets of n-grams, and the same language wins."""
+    rng = random.Random(15)
+    parts = {"en": ["the", "ing", "ou", "ly"], "de": ["sch", "ung", "ein", "ou"], "fr": ["eau", "ié", "ou", "ing"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 4))) for _ in range(n))
+    rows = [(make(lang, rng.randint(3, 60)), lang) for lang in parts for _ in range(100)]
+    filters = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    grams = lambda t: [b[i : i + langid.N] for b in [langid.folded(t)] for i in range(len(b) - langid.N + 1)]
+    counts = {lang: {} for lang in parts}
+    for t, lang in dict(rows).items():
+        for g in set(grams(t)):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    for lang in parts:
+        for n in (2, 20, 200):
+            t = make(lang, n)
+            exact = {k: sum(c.get(g, 0) >= 2 for g in grams(t)) / max(1, len(grams(t))) for k, c in counts.items()}
+            assert np.allclose(filters.shares(t), [exact[k] for k in filters.languages], atol=0.05)
+            if len([k for k in exact if exact[k] > max(exact.values()) - 0.1]) == 1:
+                assert langid.predict(t, filters)[0] == max(exact, key=exact.get)
+
+
+def test_least_hashes(spark):
+    rng = random.Random(16)
+    rows = [(lang, rng.randrange(-(2**63), 2**63)) for lang in ("a", "b") for _ in range(3000)]
+    rows += [("c", h) for h in range(5)] + rows[:500]
+    got = langid._least_hashes(spark.createDataFrame(rows, "lang string, h long").repartition(7), 20).collect()
+    assert len(got) == 45
+    for lang in "abc":
+        assert {r.h for r in got if r.lang == lang} == set(sorted({h for x, h in rows if x == lang})[:20])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><a href=/>Home</a> Site name</header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies. Accept?</div>
@@ -179,17 +235,44 @@ def brute_tiles(p, t, least):
         fp[i : i + k] = ft[j : j + k] = [False] * k
 
 
-def test_tiles_against_brute_force():
-    rng = random.Random(8)
-    for _ in range(200):
-        p, t = rng.choices(range(6), k=rng.randint(0, 25)), rng.choices(range(6), k=rng.randint(0, 40))
-        got = decontam.tile(p, t, 3)
-        assert all(p[i : i + k] == t[j : j + k] and k >= 3 for i, j, k in got)
-        for at in (0, 1):
-            cells = [x for m in got for x in range(m[at], m[at] + m[2])]
-            assert len(cells) == len(set(cells))
-        assert max((k for _, _, k in got), default=0) == max((k for _, _, k in brute_tiles(p, t, 3)), default=0)
-    assert decontam.tile(list(range(10)), [*range(5, 10), 99, *range(5)], 5) in ([(0, 6, 5), (5, 0, 5)], [(5, 0, 5), (0, 6, 5)])
+def as_hashes(seq):
+    return np.array(seq, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+
+
+@pytest.mark.parametrize(("symbols", "rounds"), [(2, 400), (3, 200), (6, 200)])
+def test_tiles_against_brute_force(symbols, rounds):
+    """Whole tilings, on alphabets so small that matches overlap in many ways."""
+    rng = random.Random(symbols)
+    for _ in range(rounds):
+        p, t = rng.choices(range(symbols), k=rng.randint(0, 25)), rng.choices(range(symbols), k=rng.randint(0, 40))
+        assert decontam.tile(as_hashes(p), as_hashes(t), 3) == brute_tiles(p, t, 3)
+    blocked = np.zeros(11, bool)
+    blocked[5] = True
+    assert decontam.tile(as_hashes(range(10)), as_hashes([*range(5, 10), 99, *range(5)]), 5, blocked) == [(0, 6, 5), (5, 0, 5)]
+
+
+def test_coverage_against_brute_force():
+    """Coverage of items by whole documents, without the shortcuts by seeds."""
+    rng = random.Random(18)
+    for _ in range(150):
+        item, doc = ([f"w{c}" for c in rng.choices(range(3), k=rng.randint(5, 30))] for _ in range(2))
+        doc = doc + item[3:12] + [f"w{c}" for c in rng.choices(range(3), k=rng.randint(0, 30))]
+        covered = sum(k for _, _, k in brute_tiles(item, doc, decontam.MIN_MATCH))
+        items = decontam.Items([("k", " ".join(item))])
+        got = items.coverages(" ".join(doc))
+        assert [w for _, _, _, w in got] == ([covered] if covered else [])
+        for least in (0.3, 0.5, 1.0):
+            assert bool(items.coverages(" ".join(doc), least)) == (covered >= least * len(item) and covered > 0)
+
+
+def test_a_phrase_said_very_often():
+    phrase = "one two three four five six"
+    items = decontam.Items([("k", phrase + " seven eight nine ten eleven twelve"), ("s", "one two")])
+    (got,) = items.coverages(f"{phrase} and " * 200_000)
+    assert got == (0, 0.5, 1, 6)
+    (got,) = items.coverages("one two " * 100_000 + phrase)
+    assert got[1:] == (0.5, 1, 6)
+    assert items.coverages("One, two!") == [(1, 1.0, 1, 2)] and not items.coverages("one two three")
 
 
 def test_decontamination(spark, tmp_path):
@@ -204,14 +287,15 @@ def test_decontamination(spark, tmp_path):
             half = own[15:] + rng.choices(words, k=5) + own[:15]  # in another order
             text[50:50] = half if i % 2 else own
         docs.append((i, " ".join(text).upper() if i % 3 else ", ".join(text), i))
-    docs += [(100, None, 0), (101, "", 0), (102, "x Just four, words here!", 0), (None, "eins zwei drei vier fuenf sechs", 0)]
+    docs += [(100, None, 0), (101, "", 0), (102, "Just four, words here!", 0), (103, "x just four words here", 0), (None, "eins zwei drei vier fuenf sechs", 0)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, item_id long")
+    items += [(50, items[0][1])] * 2
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = {(i, i) for i in range(20)} | {(102, 22), (None, None)}
+    want = {(i, i) for i in range(20)} | {(102, 22), (None, None), (0, 50)}
     for block in (1 << 20, 500):
         got = decontam.matches(frame, bench, block_bytes=block).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want and all(0.5 <= r.coverage <= 1 for r in got)
-    assert {r.doc_id for r in decontam.clean(frame, bench).collect()} == {*range(20, 40), 100, 101}
+        assert len(got) == len(want) + 1 and {(r.doc_id, r.item_id) for r in got} == want and all(0.5 <= r.coverage <= 1 for r in got)
+    assert {r.doc_id for r in decontam.clean(frame, bench).collect()} == {*range(20, 40), 100, 101, 103}
     assert decontam.matches(frame.limit(0), bench).count() == 0
     assert decontam.clean(frame, bench.limit(0)).count() == len(docs)
 
