@@ -1,7 +1,7 @@
 """Token replay of logs on nets: fitness, precision and their harmonic mean.
 
-Cases with the same variant replay alike, so each distinct variant is replayed once, in Arrow batches, and weighs as
-many cases as have it.
+Cases with the same variant replay alike. Over a whole log each distinct variant is replayed once, in Arrow batches, and
+weighs as many cases as have it; case by case, a task replays each variant that it meets once.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.net import Net
@@ -81,23 +81,36 @@ class Replayer:
         return out
 
 
-def replay_variants(log: DataFrame, net: Net) -> DataFrame:
-    """``variant, cases`` and the counts of its replay."""
+def _replayed(net: Net, variant: str) -> Column:
+    """The counts of a variant's replay; a task keeps those of the variants that it met last."""
     replayer = Replayer(net)
 
     @F.pandas_udf(_REPLAY)
     def replayed(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _REPLAY.split(", ")]
+        known: dict[tuple, tuple] = {}
         for variants in it:
-            yield pd.DataFrame([replayer.replay(list(v)) for v in variants], columns=names)
+            out = []
+            for v in map(tuple, variants):
+                if v not in known:
+                    if len(known) > 50_000:
+                        known.clear()
+                    known[v] = replayer.replay(list(v))
+                out.append(known[v])
+            yield pd.DataFrame(out, columns=names)
+
+    return replayed(variant)
 
+
+def replay_variants(log: DataFrame, net: Net) -> DataFrame:
+    """``variant, cases`` and the counts of its replay."""
     per = traces(log).groupBy("variant").agg(F.count(F.lit(1)).alias("cases"))
-    return per.withColumn("r", replayed("variant")).select("variant", "cases", "r.*")
+    return per.withColumn("r", _replayed(net, "variant")).select("variant", "cases", "r.*")
 
 
 def replay(log: DataFrame, net: Net) -> DataFrame:
-    """``case_id`` and the counts of its replay."""
-    return traces(log).select("case_id", "variant").join(replay_variants(log, net).drop("cases"), "variant")
+    """``case_id, variant`` and the counts of its replay; the only shuffle is that of traces, by case."""
+    return traces(log).select("variant", "case_id", _replayed(net, "variant").alias("r")).select("variant", "case_id", "r.*")
 
 
 def fitness(log: DataFrame, net: Net) -> DataFrame:

@@ -5,12 +5,14 @@ Events have ``id, stream_id, type, version, timestamp, data`` (JSON) and ``metad
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENTS_SQL = "id string, stream_id string, type string, version int, timestamp timestamp, data string, metadata map<string,string>"
@@ -67,9 +69,10 @@ def with_versions(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 class EventStore:
-    """A store in a folder of Parquet files, partitioned by a hash of the stream.
+    """A store in a folder of Parquet files, partitioned by a hash of the stream; reading one stream reads one partition.
 
-    One writer at a time: versions are compared and written, not locked.
+    Writers claim the first version that they write by creating a file that must not exist, so of two that expect the
+    same version one is refused. A writer that is lost before it has written leaves its claim: :meth:`recover` drops it.
     """
 
     BUCKETS = 64
@@ -77,36 +80,92 @@ class EventStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _file(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _fs(self):
+        return self._file("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _all(self) -> DataFrame:
+        if not self._fs().exists(self._file("events")):
+            return self.spark.createDataFrame([], EVENTS_SQL + ", bucket int")
+        return self.spark.read.schema(EVENTS_SQL + ", bucket int").parquet(f"{self.path}/events")
+
     def events(self) -> DataFrame:
-        names = EVENTS_SQL.replace("metadata map<string,string>", "metadata map<string,string>, bucket int")
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/events")
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], EVENTS_SQL)
-        return self.spark.read.schema(names).parquet(f"{self.path}/events").drop("bucket")
+        self._settle()
+        return self._all().drop("bucket")
+
+    def stream(self, stream_id: str) -> DataFrame:
+        """Events of one stream, from its partition alone."""
+        self._settle()
+        return self._all().where((F.col("bucket") == self._bucket(F.lit(stream_id))) & (F.col("stream_id") == stream_id)).drop("bucket")
+
+    def _bucket(self, stream: Column) -> Column:
+        return F.pmod(F.hash(stream), F.lit(self.BUCKETS))
+
+    def _claim(self, stream_id: str, version: int):
+        return self._file(f"claims/{hashlib.sha256(stream_id.encode()).hexdigest()}/{version}")
+
+    def recover(self, stream_id: str) -> None:
+        """Drop claims of versions that no event has; to be called when no writer of the stream is at work."""
+        fs, claims = self._fs(), self._claim(stream_id, 0).getParent()
+        current = stream_version(self.stream(stream_id), stream_id)
+        for f in fs.listStatus(claims) if fs.exists(claims) else []:
+            if int(f.getPath().getName()) > current:
+                fs.delete(f.getPath(), False)
 
     def append(self, stream_id: str, expected_version: int, new: DataFrame) -> int:
         """Append events (``type, timestamp, seq, data, metadata``) and return the new version; a negative expected
         version is not compared."""
-        current = stream_version(self.events(), stream_id)
+        current = stream_version(self.stream(stream_id), stream_id)
         if expected_version >= 0 and expected_version != current:
             raise ConcurrencyConflict(f"{stream_id} is at {current}, not {expected_version}")
-        rows = with_versions(new.withColumn("stream_id", F.lit(stream_id)), self.events())
-        rows = rows.withColumn("bucket", F.pmod(F.hash("stream_id"), F.lit(self.BUCKETS)))
-        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/events")
-        return stream_version(self.events(), stream_id)
+        claim = self._claim(stream_id, current + 1)
+        try:
+            self._fs().create(claim, False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            raise ConcurrencyConflict(f"{stream_id}: version {current + 1} is being written") from e
+        try:
+            place = F.row_number().over(Window.partitionBy("stream_id").orderBy("seq"))
+            rows = new.withColumn("stream_id", F.lit(stream_id)).withColumn("version", (F.lit(current) + place).cast("int"))
+            rows = rows.select(F.uuid().alias("id"), "stream_id", "type", "version", "timestamp", "data", "metadata", self._bucket(F.col("stream_id")).alias("bucket"))
+            written = Observation()
+            rows.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/events")
+        except BaseException:
+            self._fs().delete(claim, False)
+            raise
+        if not written.get["n"]:
+            self._fs().delete(claim, False)
+        return current + written.get["n"]
 
     def delete_stream(self, stream_id: str) -> None:
-        """Write the stream's bucket anew without it."""
-        bucket = self.spark.range(1).select(F.pmod(F.hash(F.lit(stream_id)), F.lit(self.BUCKETS))).first()[0]
-        path = f"{self.path}/events/bucket={bucket}"
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
+        """Write the stream's bucket anew without it, beside the old one, and then put it in its place.
+
+        If the driver is lost in between, the next reader finds either the old bucket or the new one whole.
+        """
+        self._settle()
+        bucket = self.spark.range(1).select(self._bucket(F.lit(stream_id))).first()[0]
+        fs, old = self._fs(), self._file(f"events/bucket={bucket}")
+        if not fs.exists(old):
+            return
+        self.spark.read.schema(EVENTS_SQL).parquet(old.toString()).where(F.col("stream_id") != stream_id).write.mode("overwrite").parquet(f"{self.path}/writing/bucket={bucket}")
+        fs.mkdirs(self._file("ready"))
+        fs.rename(self._file(f"writing/bucket={bucket}"), self._file(f"ready/bucket={bucket}"))
+        self._settle()
+        fs.delete(self._claim(stream_id, 0).getParent(), True)
+
+    def _settle(self) -> None:
+        """Put buckets that were written anew, and are whole, in the place of the old ones."""
+        fs, ready = self._fs(), self._file("ready")
+        if not fs.exists(ready):
             return
-        fresh = f"{self.path}/rewrite-bucket={bucket}"
-        self.spark.read.schema(EVENTS_SQL).parquet(path).where(F.col("stream_id") != stream_id).write.mode("overwrite").parquet(fresh)
-        fs.delete(hadoop, True)
-        fs.rename(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh), hadoop)
+        for f in fs.listStatus(ready):
+            name = f.getPath().getName()
+            fs.delete(self._file(f"events/{name}"), True)
+            fs.rename(f.getPath(), self._file(f"events/{name}"))
+        fs.delete(ready, False)
 
     def subscribe(self, stream_id: str | None = None, types: Sequence[str] = ()) -> DataFrame:
         """New events as a streaming DataFrame, filtered by stream and type; nothing is dropped."""
@@ -262,14 +321,14 @@ class Repository:
 
     def load(self, id: str) -> Aggregate:
         out = self.make(id)
-        for r in read_stream(self.store.events(), id).select("type", "data", "version").collect():  # one stream
+        for r in read_stream(self.store.stream(id), id).select("type", "data", "version").collect():  # one stream
             out.apply(r.type, json.loads(r.data or "{}"), r.version)
         return out
 
     def save(self, aggregate: Aggregate, new: Sequence[tuple[str, dict]], timestamp: str) -> int:
         rows = [(t, i, json.dumps(d)) for i, (t, d) in enumerate(new)]
         df = self.store.spark.createDataFrame(rows, "type string, seq long, data string").withColumn("timestamp", F.lit(timestamp).cast("timestamp")).withColumn("metadata", F.lit(None).cast("map<string,string>"))
-        if aggregate.version < 0 and stream_version(self.store.events(), aggregate.id) >= 0:
+        if aggregate.version < 0 and stream_version(self.store.stream(aggregate.id), aggregate.id) >= 0:
             raise ConcurrencyConflict(f"{aggregate.id} exists")
         for i, (t, d) in enumerate(new, aggregate.version + 1):
             aggregate.apply(t, d, i)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from .net import Net
 from .ode import OPTIONS, Options, Trajectory, final_states, simulate, solve
 from .trajectory import metrics, objective
@@ -68,7 +69,7 @@ def grid(spark: SparkSession, parameters: Mapping[str, Sequence[float]]) -> Data
     return spark.range(total).select(F.col("id").alias("combination"), cells.alias("parameters"))
 
 
-def sweep(spark: SparkSession, net: Net, rates: Mapping[str, Sequence[float]], initials: Mapping[str, Sequence[float]], goal: str, t1: float = 100.0, points: int = 150, options: Options = OPTIONS["default"]) -> DataFrame:
+def sweep(spark: SparkSession, net: Net, rates: Mapping[str, Sequence[float]], initials: Mapping[str, Sequence[float]], goal: str, t1: float = 100.0, points: int = 150, options: Options = OPTIONS["default"], method: str = "tsit5") -> DataFrame:
     """``run_id, parameters, score, rank`` and metrics of all combinations of rates and initial tokens.
 
     Trajectories are cut to ``points`` steps before they are analysed. Lower scores rank first, ties by run; runs for
@@ -79,15 +80,15 @@ def sweep(spark: SparkSession, net: Net, rates: Mapping[str, Sequence[float]], i
     base = F.create_map(*[F.lit(x) for kv in net.rates().items() for x in kv]) if net.transitions else F.create_map().cast("map<string,double>")
     merged = F.map_from_entries(F.transform(F.map_entries(base), lambda e: F.struct(e.key.alias("key"), F.coalesce(F.try_element_at(pick("r:"), e.key), e.value).alias("value"))))
     runs = every.select(F.col("combination").alias("run_id"), "parameters", pick("i:").alias("state"), merged.alias("rates"), F.lit(0.0).alias("t0"), F.lit(float(t1)).alias("t1"))
-    paths = simulate(runs, net, options=options, points=points)
+    paths = simulate(runs, net, method, options, points)
     ends = final_states(paths).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("final"))
     scored = runs.select("run_id", "parameters").join(metrics(paths), "run_id").join(ends, "run_id").withColumn("score", objective(goal))
     return rank(scored)
 
 
 def rank(scored: DataFrame) -> DataFrame:
-    """Rows with ``rank`` from 1 by rising score. One row per run: the table of runs is what a person reads."""
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").asc_nulls_last(), "run_id")))
+    """Rows with ``rank`` from 1 by rising score, numbered range by range."""
+    return numbered(scored, [F.col("score").asc_nulls_last(), "run_id"], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def recommendations(ranked: DataFrame) -> dict[str, str]:
@@ -122,14 +123,14 @@ def score_runs(runs: DataFrame, net: Net, scorer: Scorer, options: Options = OPT
 class Sensitivity:
     """How a score answers to rates, one at a time or in grids."""
 
-    def __init__(self, spark: SparkSession, net: Net, scorer: Scorer, state: Mapping[str, float] | None = None, rates: Mapping[str, float] | None = None, tspan: tuple[float, float] = (0.0, 10.0), options: Options = OPTIONS["default"]):
-        self.spark, self.net, self.scorer, self.tspan, self.options = spark, net, scorer, tspan, options
+    def __init__(self, spark: SparkSession, net: Net, scorer: Scorer, state: Mapping[str, float] | None = None, rates: Mapping[str, float] | None = None, tspan: tuple[float, float] = (0.0, 10.0), options: Options = OPTIONS["default"], method: str = "tsit5"):
+        self.spark, self.net, self.scorer, self.tspan, self.options, self.method = spark, net, scorer, tspan, options, method
         self.state, self.rates = net.state(state), net.rates(rates)
 
     def _scored(self, labelled: list[tuple[str, float | None, dict[str, float]]]) -> DataFrame:
         rows = [(i, name, value, self.state, rates, *map(float, self.tspan)) for i, (name, value, rates) in enumerate(labelled)]
         runs = self.spark.createDataFrame(rows, f"run_id long, transition string, rate double, {RUNS_SQL.partition(', ')[2]}")
-        return score_runs(runs.repartition(max(1, min(len(rows), self.spark.sparkContext.defaultParallelism))), self.net, self.scorer, self.options)
+        return score_runs(runs.repartition(max(1, min(len(rows), self.spark.sparkContext.defaultParallelism))), self.net, self.scorer, self.options, self.method)
 
     def knockouts(self) -> DataFrame:
         """``transition, score, impact, rank``: the score with each rate at 0, less that with all rates."""
@@ -161,8 +162,8 @@ class Sensitivity:
         full = F.map_from_entries(F.transform(F.map_entries(base), lambda e: F.struct(e.key.alias("key"), F.coalesce(F.try_element_at("parameters", e.key), e.value).alias("value"))))
         state = F.create_map(*[F.lit(x) for kv in self.state.items() for x in kv])
         runs = grid(self.spark, parameters).select(F.col("combination").alias("run_id"), "parameters", state.alias("state"), full.alias("rates"), F.lit(float(self.tspan[0])).alias("t0"), F.lit(float(self.tspan[1])).alias("t1"))
-        scored = score_runs(runs.repartition(self.spark.sparkContext.defaultParallelism), self.net, self.scorer, self.options)
-        return scored.select(F.col("run_id").alias("combination"), "parameters", "score").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "combination")))
+        scored = score_runs(runs.repartition(self.spark.sparkContext.defaultParallelism), self.net, self.scorer, self.options, self.method)
+        return numbered(scored.select(F.col("run_id").alias("combination"), "parameters", "score"), [F.desc("score"), "combination"], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 class Hypotheses:

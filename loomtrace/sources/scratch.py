@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def fresh_path(spark: SparkSession, stem: str) -> str:
+    """A path in the shared folder that nothing uses; what is there when the driver ends is removed."""
+    path = f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        if spark.sparkContext._jvm is not None and spark.sparkContext._jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut."""
     spark = df.sparkSession

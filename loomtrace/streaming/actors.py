@@ -21,11 +21,12 @@ SIGNAL_SQL = "id string, type string, source string, target string, payload map<
 
 def dispatch(signals: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """``actor_id, priority`` and the signal for every subscription (``actor_id, type, priority``) that it meets: of its
-    type or ``*``, and of its target if it has one."""
-    s = subscriptions.withColumnRenamed("type", "wanted")
-    met = (F.col("type") == F.col("wanted")) | (F.col("wanted") == "*")
+    type or ``*``, and of its target if it has one. Each signal asks for both its type and ``*``, so the join is one of
+    equals, which is hashed or broadcast."""
+    s = subscriptions.withColumnRenamed("type", "__wanted")
+    asked = signals.withColumn("__wanted", F.explode(F.array_distinct(F.array(F.coalesce("type", F.lit("")), F.lit("*")))))
     to = F.coalesce(F.col("target"), F.lit("")).isin("") | (F.col("target") == F.col("actor_id"))
-    return signals.join(s, met & to).drop("wanted")
+    return asked.join(s, "__wanted").where(to).drop("__wanted")
 
 
 def unsubscribe(subscriptions: DataFrame, actor_id: str, type: str | None = None) -> DataFrame:
@@ -72,9 +73,20 @@ def dedupe_fold(window_s: float) -> Fold:
 
 
 def dedupe(signals: DataFrame, window_s: float) -> DataFrame:
-    run = fold_stream if signals.isStreaming else fold_batch
+    """Signals without those that follow one of their type and source that passed, within the window.
+
+    In a table, a signal after a silence as long as the window always passes, so runs between silences are folded on
+    their own, and a busy source is spread over tasks.
+    """
     flat = signals.withColumn("payload", F.to_json("payload"))
-    out = run(flat, ["type", "source"], ["ts", "id"], dedupe_fold(window_s), SIGNAL_SQL.replace("payload map<string,string>", "payload string"))
+    schema = SIGNAL_SQL.replace("payload map<string,string>", "payload string")
+    if signals.isStreaming:
+        out = fold_stream(flat, ["type", "source"], ["ts", "id"], dedupe_fold(window_s), schema)
+    else:
+        order = Window.partitionBy("type", "source").orderBy("ts", "id")
+        silent = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) >= F.lit(int(window_s * 1_000_000))
+        runs = flat.withColumn("run", F.sum(F.when(silent, 1).otherwise(0)).over(order))
+        out = fold_batch(runs, ["type", "source", "run"], ["ts", "id"], dedupe_fold(window_s), schema)
     return out.withColumn("payload", F.from_json("payload", "map<string,string>"))
 
 
@@ -140,9 +152,32 @@ def batches_fold(n: int, to: str) -> Fold:
 
 
 def aggregate(signals: DataFrame, type: str, to: str, n: int) -> DataFrame:
-    run = fold_stream if signals.isStreaming else fold_batch
+    """A signal for every ``n`` of a type and source, in order; those left over give none (yet)."""
     rows = signals.where(F.col("type") == type).select("source", "id", "ts")
-    return run(rows, ["source"], ["ts", "id"], batches_fold(n, to), "source string, type string, ts timestamp, ids string, n int")
+    if signals.isStreaming:
+        return fold_stream(rows, ["source"], ["ts", "id"], batches_fold(n, to), "source string, type string, ts timestamp, ids string, n int")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("ts", "id")) - 1
+    batches = rows.withColumn("batch", F.floor(place / n)).groupBy("source", "batch").agg(F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("all"))
+    return batches.where(F.size("all") == n).select("source", F.lit(to).alias("type"), F.element_at("all", -1).ts.alias("ts"), F.array_join("all.id", ",").alias("ids"), F.lit(n).alias("n"))
+
+
+def request(signals: DataFrame, type: str, reply_type: str) -> DataFrame:
+    """Signals of a type as requests: each gets a correlation id, its own id, and says in ``reply_to`` of which type an
+    answer is to be."""
+    return signals.where(F.col("type") == type).withColumn("correlation_id", F.col("id")).withColumn("reply_to", F.lit(reply_type))
+
+
+def reply(requests: DataFrame, actor: str, payload: Column) -> DataFrame:
+    """What ``actor`` answers to requests: a signal of the type asked for, to the source, with the same correlation id."""
+    return requests.select(F.concat("id", F.lit("/reply")).alias("id"), F.col("reply_to").alias("type"), F.lit(actor).alias("source"), F.col("source").alias("target"), payload.alias("payload"), "ts", "correlation_id")
+
+
+def answered(requests: DataFrame, signals: DataFrame) -> DataFrame:
+    """``correlation_id, source, asked_at, reply_id, replied_at`` of requests; nulls where there is no answer (yet). Of
+    several answers the first counts."""
+    answers = signals.where("correlation_id is not null").groupBy("correlation_id", F.col("type").alias("reply_to")).agg(F.min(F.struct("ts", "id")).alias("first"))
+    met = requests.join(answers, ["correlation_id", "reply_to"], "left")
+    return met.select("correlation_id", "source", F.col("ts").alias("asked_at"), F.col("first.id").alias("reply_id"), F.col("first.ts").alias("replied_at"))
 
 
 def net_fold(net: Net, transition_of: Mapping[str, str], emits: Mapping[str, str]) -> Fold:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.net import Net
-from ..plans.ode import Options, solve
+from ..plans.ode import OPTIONS, Options, Trajectory, solve
 from .keyed import Fold, fold_batch, fold_stream
 
 HORIZON_S = 86_400.0
@@ -127,10 +127,23 @@ def case_fold(net: Net, rates: Mapping[str, float], config: Config = Config()) -
     return fold
 
 
-def monitor(events: DataFrame, net: Net, rates: Mapping[str, float], config: Config = Config()) -> DataFrame:
-    """Assessments of all cases of a table or a stream."""
-    run = fold_stream if events.isStreaming else fold_batch
-    return run(events, ["case_id"], ["ts", "seq"], case_fold(net, rates, config), OUTPUT_SQL)
+def monitor(events: DataFrame, net: Net, rates: Mapping[str, float], config: Config = Config(), every_s: float = 0.0) -> DataFrame:
+    """Assessments of all cases of a table or a stream.
+
+    On a stream, ``every_s`` seconds of processing time without an event make a case be assessed once more, at that
+    time, and again after as long until it completes; 0 means never. A table has events of kind ``tick`` for that.
+    """
+    fold = case_fold(net, rates, config)
+    if not events.isStreaming:
+        return fold_batch(events, ["case_id"], ["ts", "seq"], fold, OUTPUT_SQL)
+
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+
+    def tick(key: tuple, held: dict, now_ms: int) -> tuple[dict | None, list[dict]]:
+        now = pd.Timestamp(now_ms, unit="ms", tz="UTC").tz_convert(zone).tz_localize(None)
+        return fold(key, held, [{"ts": now, "activity": None, "kind": "tick"}])
+
+    return fold_stream(events, ["case_id"], ["ts", "seq"], fold, OUTPUT_SQL, every_s, tick if every_s > 0 else None)
 
 
 def statistics(assessed: DataFrame) -> DataFrame:
@@ -174,6 +187,17 @@ class RuleEngine:
         self.rules: list[tuple[str, Condition, Callable[[dict[str, float]], None]]] = []
         self.time = 0.0
 
+    def set_state(self, changes: Mapping[str, float]) -> None:
+        """Tokens of the places named become these."""
+        self.state |= {k: float(v) for k, v in changes.items()}
+
+    def update_rates(self, changes: Mapping[str, float]) -> None:
+        self.rates |= {k: float(v) for k, v in changes.items()}
+
+    def simulate(self, duration: float, options: Options = OPTIONS["default"]) -> Trajectory:
+        """A run from the present state, which stays as it is."""
+        return solve(self.net, self.state, self.rates, (0.0, duration), options=options)
+
     def rule(self, name: str, condition: Condition, action: Callable[[dict[str, float]], None]) -> RuleEngine:
         self.rules.append((name, condition, action))
         return self

@@ -171,6 +171,41 @@ def test_event_store(spark, tmp_path):
     assert {r.stream_id for r in store.events().collect()} == {"other"}
 
 
+def test_event_store_scans_and_claims(spark, tmp_path):
+    store = events.EventStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("a", 1, "{}")], "type string, seq long, data string").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp")).withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    for s in "pqrs":
+        store.append(s, -1, rows)
+    plan = store.stream("p")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "SelectedBuckets" not in plan
+    # Another writer is at work on version 1, and is lost.
+    store._fs().create(store._claim("p", 1), False).close()
+    with pytest.raises(events.ConcurrencyConflict):
+        store.append("p", 0, rows)
+    store.recover("p")
+    assert store.append("p", 0, rows) == 1
+    assert store.append("q", 0, rows.limit(0)) == 0 and store.append("q", 0, rows) == 1
+    # A driver lost between writing a bucket anew and moving it leaves it ready; the next reader puts it in place.
+    bucket = spark.range(1).select(store._bucket(F.lit("r"))).first()[0]
+    kept = spark.read.schema(events.EVENTS_SQL).parquet(f"{store.path}/events/bucket={bucket}").where("stream_id <> 'r'")
+    kept.write.parquet(f"{store.path}/ready/bucket={bucket}")
+    assert {r.stream_id for r in store.events().collect()} == {"p", "q", "s"}
+
+
+def test_numbers_by_ranges(spark):
+    from loomtrace.functions.numbering import numbered
+
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    out = numbered(df, [F.desc("x"), "id"], "place")
+    assert out.where("place <> 1000 - x").count() == 0 and out.count() == 1000
+    assert numbered(df.limit(0), ["id"], "place").count() == 0
+
+
+def test_levels_are_not_cut_silently(spark):
+    with pytest.raises(RuntimeError):
+        statespace.explore(spark, Net().chain(4.0, "A", "t", "B"), max_levels=2)
+
+
 def test_repository(spark, tmp_path):
     store = events.EventStore(spark, str(tmp_path / "store"))
     repo = events.Repository(store, lambda id: events.Aggregate(id, 0).on("add", lambda s, d: s + d["n"]))

@@ -1,9 +1,12 @@
 """Streams give what the same operators give over tables."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from loomtrace import queries
-from loomtrace.streaming import actors, monitor, statechart
+from loomtrace.plans.net import Net
+from loomtrace.streaming import actors, keyed, monitor, statechart
 
 DIR = "/root/testdata/sf0.001"
 
@@ -75,3 +78,47 @@ def test_statechart_over_events(spark):
     chart = statechart.Chart("lamp").region("lamp", "off", "on").when("t", "lamp:off", "lamp:on").when("t", "lamp:on", "lamp:off")
     e = spark.createDataFrame([("k", i, "t" if i != 1 else "x") for i in range(4)], "key string, seq long, event string")
     assert [r.state for r in statechart.run_chart(e, chart).orderBy("seq").collect()] == ["lamp:on", "lamp:on", "lamp:off", "lamp:on"]
+
+
+def test_dispatch_is_a_join_of_equals(spark):
+    signals = spark.createDataFrame([("1", "click", "s", None, None, None, None), ("2", None, "s", "b", None, None, None)], actors.SIGNAL_SQL)
+    subs = spark.createDataFrame([("a", "click", 1), ("b", "*", 2), ("c", "*", 3), ("d", "view", 4)], "actor_id string, type string, priority int")
+    out = actors.dispatch(signals, subs)
+    assert {(r.id, r.actor_id) for r in out.collect()} == {("1", "a"), ("1", "b"), ("1", "c"), ("2", "b")}
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folds_of_a_hot_key_and_null_keys(spark):
+    """A key's rows reach the fold batch by batch, in order; missing keys are one key."""
+    rows = spark.range(30_000).select(F.lit("hot").alias("k"), F.col("id").alias("i")).unionByName(spark.createDataFrame([(None, 1), (None, 2)], "k string, i long"))
+
+    def fold(key, held, rows):
+        n = (held or {"n": 0})["n"]
+        out = []
+        for r in rows:
+            n += 1
+            out.append({"k": key[0], "i": r["i"], "n": n})
+        return {"n": n}, out
+
+    got = keyed.fold_batch(rows, ["k"], ["i"], fold, "k string, i long, n long")
+    assert got.where("k = 'hot' and n <> i + 1").count() == 0 and got.where("k is null").count() == 2
+    assert got.where("k is null").agg(F.max("n")).first()[0] == 2
+
+
+def test_silent_cases_are_assessed_by_a_timer(spark, tmp_path):
+    """A case without events is found stuck when processing time goes on, without any further event."""
+    source = tmp_path / "in"
+    rows = [("c", "", "2024-01-01 00:00:00", 0, "start"), ("c", "user", "2024-01-01 00:01:00", 1, "event")]
+    make = lambda r: spark.createDataFrame(r, "case_id string, activity string, at string, seq long, kind string").withColumn("ts", F.col("at").cast("timestamp")).drop("at")
+    make(rows).coalesce(1).write.parquet(str(source))
+    events = spark.readStream.schema(make(rows).schema).parquet(str(source))
+    net = Net().place("start", 1.0).place("end").transition("user").flow("start", "user", "end")
+    out = monitor.monitor(events, net, {"user": 0.1}, monitor.Config(predictions=False), every_s=0.5)
+    q = out.writeStream.format("memory").queryName("silent").outputMode("append").trigger(processingTime="500 milliseconds").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and not spark.sql("select * from silent where alert = 'stuck'").count():
+            time.sleep(0.5)
+        assert spark.sql("select * from silent where alert = 'stuck'").count() >= 1
+    finally:
+        q.stop()
