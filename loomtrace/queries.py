@@ -219,7 +219,18 @@ def heuristic_net(spark, d):
     return _arcs(spark, discovery.heuristic(talk_log(spark, d)))
 
 
-@query()
+@query(f"""with recursive {TALKS}, {PAIRS}, {ENDS},
+sets(s) as (
+    select [activity] from acts
+    union all
+    select list_append(s, activity) from sets, acts
+    where activity > s[len(s)] and len(s) < 5 and len(list_filter((select list(a) from related where relation <> 'choice' and b = activity), lambda x: list_contains(s, x))) = 0
+),
+cause as (select list(a || '>' || b) as pairs from related where relation = 'causal'),
+cand as (select x.s as l, y.s as r from sets x, sets y, cause where len(list_filter(pairs, lambda p: list_contains(x.s, split_part(p, '>', 1)) and list_contains(y.s, split_part(p, '>', 2)))) = len(x.s) * len(y.s)),
+places as (select 'p_' || array_to_string(l, '_') || '_' || array_to_string(r, '_') as p, l, r from cand c where not exists (select 1 from cand o where (o.l <> c.l or o.r <> c.r) and list_has_all(o.l, c.l) and list_has_all(o.r, c.r)))
+select unnest(l) as source, p as target from places union all select p, unnest(r) from places
+union all select 'start', activity from firsts union all select activity, 'end' from lasts""")
 def alpha_net(spark, d):
     return _arcs(spark, discovery.alpha(talk_log(spark, d)))
 
@@ -569,25 +580,49 @@ def simulate_decay(spark, d):
     return path.where("step % 100 = 0").select("step", F.round("value", 6).alias("value"))
 
 
-@query()
+def _epidemic(runs: str, steps: int) -> str:
+    """SQL of fixed steps of a tenth by the classical method of fourth order, for ``runs`` (run_id, beta, gamma, s, i, r)."""
+    slope = lambda k, s, i: f"-beta * ({s}) * ({i}) as s{k}, beta * ({s}) * ({i}) - gamma * ({i}) as i{k}, gamma * ({i}) as r{k}"
+    one = f"select *, {slope(1, 's', 'i')} from p where step < {steps}"
+    two = f"select *, {slope(2, 's + 0.05 * s1', 'i + 0.05 * i1')} from ({one})"
+    three = f"select *, {slope(3, 's + 0.05 * s2', 'i + 0.05 * i2')} from ({two})"
+    four = f"select *, {slope(4, 's + 0.1 * s3', 'i + 0.1 * i3')} from ({three})"
+    move = lambda x: f"{x} + 0.1 * ({x}1 + 2 * {x}2 + 2 * {x}3 + {x}4) / 6"
+    return f"runs as ({runs}), p as (select run_id, beta, gamma, 0 as step, s, i, r from runs union all select run_id, beta, gamma, step + 1, {move('s')}, {move('i')}, {move('r')} from ({four}))"
+
+
+FIXED = ode.Options(dt=0.1, adaptive=False)
+
+
+@query(f"""with recursive {_epidemic("select k as run_id, 0.0003::double * (1 + k / 10.0::double) as beta, 0.1::double as gamma, 990.0::double as s, 10.0::double as i, 0.0::double as r from range(8) t(k)", 1000)},
+e as (select * from p where step = 1000)
+select run_id::bigint as run_id, 'S' as place, round(s, 4) as value from e union all select run_id, 'I', round(i, 4) from e union all select run_id, 'R', round(r, 4) from e""")
 def simulate_sir(spark, d):
+    """Fixed steps of the classical method of fourth order."""
     net, rates = templates.generate("sir")
-    runs = spark.createDataFrame([(i, {}, {**rates, "infection": rates["infection"] * (1 + i / 10)}, 0.0, 100.0) for i in range(8)], search.RUNS_SQL)
-    return ode.final_states(ode.simulate(runs.repartition(8), net)).select("run_id", "place", F.round("value", 3).alias("value"))
+    runs = spark.createDataFrame([(i, {}, {**rates, "infection": rates["infection"] * (1 + i / 10)}, 0.0, 100.0 - 1e-9) for i in range(8)], search.RUNS_SQL)
+    return ode.final_states(ode.simulate(runs.repartition(8), net, "rk4", FIXED)).select("run_id", "place", F.round("value", 4).alias("value"))
 
 
-@query()
+@query(f"""with recursive {_epidemic("select k as run_id, 0.00015::double + 0.00045::double * (k // 2 % 4) / 3 as beta, 0.05::double + 0.15::double * (k // 8) / 2 as gamma, 990.0::double as s, [5.0, 20.0][k % 2 + 1]::double as i, 0.0::double as r from range(24) t(k)", 600)},
+w as (select distinct case when k = 149 then 600 else floor(k * 600 / 149.0::double + 0.5)::int end as step from range(150) t(k)),
+v as (select run_id, step, i, lag(i) over o as b, lead(i) over o as a from p semi join w using (step) window o as (partition by run_id order by step)),
+m as (select run_id, max(i) filter (where i > b and i > a) as peak from v group by run_id)
+select run_id::bigint as run_id, round(peak, 3) as score, (row_number() over (order by peak nulls last, run_id))::int as rank from m""")
 def sweep_sir(spark, d):
     net, rates = templates.generate("sir")
     beta = rates["infection"]
-    out = search.sweep(spark, net, {"infection": search.linspace(beta / 2, beta * 2, 4), "recovery": search.linspace(0.05, 0.2, 3)}, {"I": [5.0, 20.0]}, "minimize_peak", 60.0)
+    grid = {"infection": search.linspace(beta / 2, beta * 2, 4), "recovery": search.linspace(0.05, 0.2, 3)}
+    out = search.sweep(spark, net, grid, {"I": [5.0, 20.0]}, "minimize_peak", 60.0 - 1e-9, options=FIXED, method="rk4")
     return out.select("run_id", F.round("score", 3).alias("score"), "rank")
 
 
-@query()
+@query(f"""with recursive {_epidemic("select k as run_id, case k when 1 then 0 else 0.0003 end::double as beta, case k when 2 then 0 else 0.1 end::double as gamma, 990.0::double as s, 10.0::double as i, 0.0::double as r from range(3) t(k)", 300)},
+e as (select run_id, r - (select r from p where step = 300 and run_id = 0) as impact from p where step = 300 and run_id > 0)
+select case run_id when 1 then 'infection' else 'recovery' end as transition, round(impact, 3) as impact, (row_number() over (order by abs(impact) desc))::int as rank from e""")
 def sensitivity_sir(spark, d):
     net, rates = templates.generate("sir")
-    s = search.Sensitivity(spark, net, search.place_scorer("R"), rates=rates, tspan=(0.0, 30.0))
+    s = search.Sensitivity(spark, net, search.place_scorer("R"), rates=rates, tspan=(0.0, 30.0 - 1e-9), options=FIXED, method="rk4")
     return s.knockouts().select("transition", F.round("impact", 3).alias("impact"), "rank")
 
 
@@ -632,12 +667,21 @@ def incidence_ring(spark, d):
     return statespace.incidence(a, p, t)
 
 
-@query()
+RING = "arc as (select * from (values ('A', 'ab', 'in'), ('B', 'bc', 'in'), ('C', 'ca', 'in'), ('X', 'ab', 'inhibit'), ('B', 'ab', 'out'), ('C', 'bc', 'out'), ('A', 'ca', 'out')) t(place, transition, kind)), held as (select * from (values ('A', 4), ('B', 0), ('C', 0), ('X', 0)) t(place, tokens))"
+
+
+@query(f"""with {RING}, n as (select place, count(*) filter (where kind = 'out') as comes, count(*) filter (where kind <> 'out') as goes from arc group by place)
+select 'info' as severity, 'deadlock' as category, transition as element, 'cannot fire at first' as message from arc join held using (place) where kind = 'in' and tokens < 1
+union all select 'info', 'conservation', transition, 'takes ' || count(*) filter (where kind = 'in') || ', gives ' || count(*) filter (where kind = 'out') from arc group by transition having count(*) filter (where kind = 'in') <> count(*) filter (where kind = 'out')
+union all select 'info', 'conservation', place, 'sink' from n where comes > 0 and goes = 0 union all select 'info', 'conservation', place, 'source' from n where goes > 0 and comes = 0
+union all select 'warning', 'boundedness', place, 'more inputs than outputs and no capacity' from n where comes > goes""")
 def validation_ring(spark, d):
     return spark.createDataFrame(statespace.validate_with_states(ring_net()), "severity string, category string, element string, message string")
 
 
-@query()
+@query(f"""with recursive {TALKS}, {DFG}, e as (select 'from ' || a as a, 'to ' || b as b, n::double as w from dfg), g as (select a, b, w from e union all select b, a, w from e),
+p(i, node, score) as (select 0, node, 1.0::double from (select distinct a as node from g) union all select i + 1, a, sum(w * score)::double from p join g on b = node where i < 10 group by i, a)
+select node, round(score / (select sqrt(sum(score * score)) from p where i = 10), 6)::double as score from p where i = 10""")
 def centrality_roles(spark, d):
     dfg = footprint.directly_follows(talk_log(spark, d)).select("a", "b", F.col("n").cast("double").alias("w"))
     out = statespace.edge_centrality(dfg.select(F.concat(F.lit("from "), "a").alias("a"), F.concat(F.lit("to "), "b").alias("b"), "w"), iterations=10)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomtrace import queries
+from loomtrace import model_queries, queries  # noqa: F401 - registers its queries
 
 DIR = "/root/testdata/sf0.001"
 
