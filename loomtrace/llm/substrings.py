@@ -27,7 +27,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _remove, shared_dir, spool
@@ -39,6 +39,7 @@ CHUNK_BYTES = 8 << 20
 PIECES_PER_SHARD = 4096
 #: Bytes of pieces whose suffixes are sorted at once, about.
 SORT_BYTES = 3 << 20
+MOST_CHUNKS, MOST_BUCKETS = 1 << 20, 1 << 16
 _LAST = (1 << 63) - 1
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -450,23 +451,66 @@ def apply_marks(docs: pa.Table, marks: pa.Table, k: int, with_text: bool) -> pa.
     return _table(out, _RESULT)
 
 
+def _times(x: Column, k: int) -> Column:
+    """The product of two unsigned 32-bit numbers modulo 2^32, without an overflow of the signed 64 bits that hold it."""
+    low, high = x.bitwiseAND(F.lit(0xFFFF)) * F.lit(k), F.shiftright(x, 16) * F.lit(k)
+    return (low + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _turned(x: Column, right: int) -> Column:
+    """An unsigned 32-bit number turned to the right."""
+    return F.shiftright(x, right).bitwiseOR(F.shiftleft(x, 32 - right)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _hashed_to(number: Column) -> Column:
+    """The int whose hash, by which rows go to partitions and buckets (32-bit Murmur 3, seed 42), is ``number``, from 0
+    below 2^31. Steps read their input more than once, so each is a function over an array of one."""
+    inverse = lambda k: pow(k, -1, 1 << 32)
+    steps = [
+        lambda h: h.bitwiseXOR(F.shiftright(h, 16)),
+        lambda h: _times(h, inverse(0xC2B2AE35)),
+        lambda h: h.bitwiseXOR(F.shiftright(h, 13)).bitwiseXOR(F.shiftright(h, 26)),
+        lambda h: _times(h, inverse(0x85EBCA6B)),
+        lambda h: h.bitwiseXOR(F.shiftright(h, 16)).bitwiseXOR(F.lit(4)),
+        lambda h: (h + F.lit((1 << 32) - 0xE6546B64)).bitwiseAND(F.lit(0xFFFFFFFF)),
+        lambda h: _times(h, inverse(5)),
+        lambda h: _turned(h, 13).bitwiseXOR(F.lit(42)),
+        lambda h: _times(h, inverse(0x1B873593)),
+        lambda h: _turned(h, 15),
+        lambda h: _times(h, inverse(0xCC9E2D51)),
+        lambda h: F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int"),
+    ]
+    out = F.array(number.cast("long"))
+    for step in steps:
+        out = F.transform(out, step)
+    return F.element_at(out, 1)
+
+
+def sizes(total: int, chunk_bytes: int) -> tuple[int, int, int]:
+    """(chunks, buckets of the table, buckets of messages) for texts of ``total`` bytes.
+
+    A bucket has about three chunks. Beyond ``MOST_CHUNKS`` chunks of ``chunk_bytes``, chunks grow, and beyond
+    ``MOST_BUCKETS`` buckets a bucket has more chunks, as the writer keeps a count for each bucket. Chunks send each
+    other a message per bucket of messages, so these are fewer than chunks where there are many.
+    """
+    n = max(1, -(-total // max(chunk_bytes, -(-total // MOST_CHUNKS))))
+    return n, min(MOST_BUCKETS, max(1, -(-n // 3))), max(min(n, 64), -(-n // 8))
+
+
 def _stored(docs: DataFrame, n_chunks: int, n_buckets: int) -> DataFrame:
-    """``docs`` as a table bucketed by chunk in the shared folder."""
+    """``docs`` as a table bucketed by chunk in the shared folder; chunks are dealt to buckets in turn."""
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_key"), F.monotonically_increasing_id().alias("row"), "text")
     # Equal ids with equal texts would meet in one chunk, so the row is part of the deal.
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row"), F.lit(n_chunks)).cast("int"))
+    rows = rows.withColumn("chunk", _hashed_to(F.pmod(F.xxhash64("doc_id", "row"), F.lit(n_chunks))))
     rows.repartition(n_buckets, "chunk").write.bucketBy(n_buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
-    atexit.register(_forget, spark, name, path)
-    return spark.table(name)
-
-
-def _forget(spark: SparkSession, name: str, path: str) -> None:
-    if spark.sparkContext._jsc is not None and spark.sparkContext._jvm is not None:
-        spark.sql(f"drop table if exists {name}")
-        _remove(spark, path)
+    atexit.register(_remove, spark, path)
+    out = spark.table(name)
+    # The catalog forgets the table at once, so that no name is left if the driver is lost; the plan keeps its files.
+    spark.sql(f"drop table {name}")
+    return out
 
 
 def deduplicate(docs: DataFrame, k: int = K, chunk_bytes: int = CHUNK_BYTES, pieces_per_shard: int = PIECES_PER_SHARD, with_text: bool = False) -> DataFrame:
@@ -483,19 +527,18 @@ def deduplicate(docs: DataFrame, k: int = K, chunk_bytes: int = CHUNK_BYTES, pie
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // chunk_bytes))
-    buckets = max(1, -(-n // 3))
+    n, buckets, m = sizes(total, chunk_bytes)
     stored = _stored(docs, n, buckets)
     # The rows of a task are what Arrow hands over at once; a chunk is one group.
     chunks = stored.groupBy("chunk")
 
     def step1(t: pa.Table) -> pa.Table:
-        return send_hashes(t, k, n)
+        return send_hashes(t, k, m)
 
     replies1 = spool(chunks.applyInArrow(step1, _PACKED_SQL).groupBy("kind", "bucket").applyInArrow(repeated_hashes, _PACKED_SQL))
 
     def step2(t: pa.Table, r: pa.Table) -> pa.Table:
-        return send_pieces(t, r, k, n)
+        return send_pieces(t, r, k, m)
 
     def compare(t: pa.Table) -> pa.Table:
         return compare_pieces(t, pieces_per_shard)
@@ -504,7 +547,7 @@ def deduplicate(docs: DataFrame, k: int = K, chunk_bytes: int = CHUNK_BYTES, pie
     shards = n
 
     def step3(t: pa.Table, r: pa.Table) -> pa.Table:
-        return judge_chunk(t, r, k, n, shards)
+        return judge_chunk(t, r, k, m, shards)
 
     judged = spool(chunks.cogroup(replies1.unionByName(replies2).groupBy("chunk")).applyInArrow(step3, _FOUND_SQL))
 
