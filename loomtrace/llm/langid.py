@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, unused
+from .common import crc_of_id, cut, unused
 
 N = 5
 #: Slots of each filter for an n-gram of the language that has most, at least, and slots of the smallest filter.
@@ -113,8 +113,8 @@ def build(usual: dict[str, np.ndarray]) -> Filters:
 def _least_hashes(rows: DataFrame, n: int) -> DataFrame:
     """``lang, h``: the ``n`` least distinct hashes of each language of ``rows`` (``lang, h``).
 
-    Each task passes on no more than ``n`` of a language, and buckets of hashes are cut before languages are, so a
-    language of very many texts is no one task's.
+    Each task passes on no more than ``n`` of a language. What is left is counted by the hash's first bits, and only the
+    bins that hold the least ``n`` are ranked, so a language of very many texts is no one task's.
     """
 
     def least(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +127,11 @@ def _least_hashes(rows: DataFrame, n: int) -> DataFrame:
         for name, hs in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * hs.size, pa.string()), pa.array(hs, pa.int64())], ["lang", "h"])
 
-    few = rows.mapInArrow(least, "lang string, h long").distinct()
-    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        few = few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("rank") <= n).drop("rank")
-    return few
+    few = cut(rows.mapInArrow(least, "lang string, h long").distinct().withColumn("bin", F.shiftright("h", 56)))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = few.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before).where(F.coalesce("before", F.lit(0)) < n).select("lang", "bin")
+    ranked = few.join(F.broadcast(bins), ["lang", "bin"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))  # 256 bins a language at most
+    return ranked.where(F.col("rank") <= n).select("lang", "h")
 
 
 def learn(labelled: DataFrame, sample_per_language: int = 1500, least_docs: int = 2) -> Filters:
