@@ -11,23 +11,28 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """The least neighbour of each ``a``, stored: a join of two plain shuffles can be split where a node has very many
-    neighbours, one with an aggregate on it cannot."""
-    return cut(edges.groupBy("a").agg(F.min("b").alias("m")))
+#: From this many edges on, least neighbours are stored before they are joined: a join of two plain shuffles can be split
+#: where a node has very many neighbours, one with an aggregate on it cannot. Results are the same.
+STORED_FROM = 5_000_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, stored: bool) -> DataFrame:
+    """The least neighbour of each ``a``."""
+    out = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return cut(out) if stored else out
+
+
+def _large_star(edges: DataFrame, stored: bool) -> DataFrame:
     """Larger neighbours of each node are linked to the least of its neighbours and itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _least(both).withColumn("m", F.least("a", "m"))
+    least = _least(both, stored).withColumn("m", F.least("a", "m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, stored: bool) -> DataFrame:
     """Smaller neighbours of each node, and the node, are linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    least = _least(down)
+    least = _least(down, stored)
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -45,5 +50,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        edges = cut(_small_star(_large_star(edges)))
+        stored = now[0] >= STORED_FROM
+        edges = cut(_small_star(_large_star(edges, stored), stored))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
