@@ -581,7 +581,7 @@ def rate_and_marking_sensitivity(spark, d):
     return table(spark, rows, "kind string, element string, zero double, double double, category string")
 
 
-@query("""select * from (values ('place', 'A', 'important', 1), ('place', 'B', 'important', 1), ('transition', 't', 'important', 1), ('arc', 'A->t', 'important', 1), ('arc', 't->B', 'important', 1)) t(kind, element, category, "symmetric") where element <> 'B' union all select 'place', 'B', 'peripheral', 1""")
+@query("""select * from (values ('place', 'A', 'important', 1), ('place', 'B', 'important', 1), ('transition', 't', 'important', 1), ('arc', 'A->t', 'important', 2), ('arc', 't->B', 'important', 2)) t(kind, element, category, "symmetric") where element <> 'B' union all select 'place', 'B', 'peripheral', 1""")
 def element_sensitivity_chain(spark, d):
     """Without its place the other end of a chain changes; without its end place the start does not."""
     net = Net().chain(100.0, "A", "t", "B")
