@@ -54,6 +54,7 @@ SMOOTH = 1.2
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HEADED = re.compile(r"(?:(?!</?article\b).)*?<h1\b", re.I | re.S)
 #: Elements whose names tell of the whole page.
 _WHOLE = {"html", "body"}
 _NOTICE = re.compile(r"©|\(c\)\s*\d{4}|copyright|all rights reserved|cookie", re.I)
@@ -186,7 +187,8 @@ def blocks(page: str) -> list[Block]:
             close(tag)
         _, where, content, links, unseen, _ = stack[-1]
         hint = _hints(m[3]) if m[3] and not m[3].isspace() and tag not in _WHOLE else 0.0
-        if tag == "main":  # a page's only one; what is around it tells of other parts
+        # Names around a page's only main part, or around an article with the page's heading, tell of other parts.
+        if tag == "main" or tag == "article" and _HEADED.match(page, at):
             where = max(where, 0.0)
         if tag in CONTENT:
             where, content = where + (0 if content else IN_CONTENT), True
