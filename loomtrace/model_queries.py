@@ -17,7 +17,7 @@ from .functions import guard, marking, statemap
 from .operators import events, graphql, learn, log, statespace, timing, tokens, workflow
 from .plans import cache, net as nets, ode, patterns, search, trajectory
 from .plans.net import Net
-from .queries import DAILY, DFG, FIXED, GAPS, MAPS, REPLAYED, SIGNALS, STORE, TALKS, USERS, daily, query, read, ring_net, signals, store, talk_log, talk_net, user_log, user_maps
+from .queries import DAILY, GAPS, MAPS, SIGNALS, STORE, TALKS, USERS, daily, query, read, ring_net, signals, store, talk_log, talk_net, user_log, user_maps
 from .sources import log as logs
 from .sources import results, templates
 from .sources.scratch import fresh_path

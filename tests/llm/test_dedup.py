@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomtrace.llm import paragraphs, simhash, substrings
 from loomtrace.llm.components import components
@@ -286,6 +287,77 @@ def test_repetition_inside_a_document(spark):
     assert sorted((r.begin, r.removed) for r in got if r.doc_id == 3 and r.part == paragraphs.ACROSS) == [(0, False), (25, True)]
 
 
+def test_clashing_columns_and_a_very_long_line(spark):
+    """Other columns are not read; of a line of many thousand words repeated in another document, all but one goes."""
+    rng = random.Random(20)
+    line = " ".join(f"w{rng.randrange(30_000)}" for _ in range(20_000))
+    rows = [(1, line, "x", 1, True), (2, f"own words before it {line} and after it", "y", 2, False), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cluster string, row int, removed boolean")
+    got = paragraphs.repeated(docs, across=True).collect()
+    assert {r.doc_id for r in got if r.n_removed} == {2} and {r.first_doc_id for r in got} == {1}
+    assert all((r.n_removed > 0) == r.removed and r.n_removed in (0, r.n_words) for r in got)
+    covered = {w for r in got if r.removed and r.part == paragraphs.ACROSS for w in range(r.begin, r.begin + r.n_words)}
+    assert len(covered & set(range(4, 20_004))) > 19_900
+
+
 def test_bands_miss_few_pairs():
     """A pair at the threshold is missed at most once in 3,000."""
     assert (1 - paragraphs.SIMILARITY**paragraphs.ROWS) ** paragraphs.BANDS < 1 / 3000
+
+
+def test_large_entries_leave_before_pairs_are_made(spark):
+    """In the optimised plan no anti-join stands above the join of probes and table."""
+    fps = spark.range(500).select((F.col("id") * 7919).alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    inner = [depth(x) for x in plan if "Join Inner" in x and "value#" in x]
+    anti = [depth(x) for x in plan if "Join LeftAnti" in x]
+    assert len(anti) == 2 and inner and min(anti) > min(inner)
+
+
+def test_sizes_at_scale():
+    """Counts of buckets and messages stay within what the writer and a shuffle can hold."""
+    n, buckets, messages = substrings.sizes(100 << 40, substrings.CHUNK_BYTES)
+    assert n <= substrings.MOST_CHUNKS and buckets <= 100_000 and messages <= n // 8 + 1
+    assert substrings.sizes(0, 8) == (1, 1, 1) and substrings.sizes(100, 8)[0] == 13
+
+
+def test_chunks_are_dealt_evenly(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    stored = substrings._stored(docs, 31, 10)
+    per = stored.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("chunk").alias("n")).collect()
+    assert sorted(r.n for r in per) == [3] * 9 + [4] and stored.select("chunk").distinct().count() == 31
+    assert "Exchange" not in stored.groupBy("chunk").count()._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
+
+
+def test_several_chunks_in_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST_BUCKETS", 2)
+    rows = [(i, "".join(random.Random(i // 2).choices("abc", k=300))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.deduplicate(docs, chunk_bytes=500).collect()}
+    assert got == {i: 300 * (i % 2) for i in range(40)}
+
+
+@pytest.mark.parametrize("kind", ["alike", "chain", "phrase"])
+def test_hot_bands_against_brute_force(spark, kind):
+    """Very many paragraphs under one band hash: all alike, a chain of neighbours, or with one phrase in common."""
+    rng = random.Random(kind)
+    base = list(range(60))
+    sets = []
+    for i in range(150):
+        if kind == "alike":
+            x = [v + 1000 * (rng.random() < 0.06) * rng.randint(1, 9) for v in base]
+        elif kind == "chain":
+            x = list(range(i // 2, i // 2 + 40))
+        else:
+            x = base[:5] + [1000 * (i // 3) + v for v in range(20)] + [10**6 + i]
+        sets.append(sorted(set(x)))
+    units = spark.createDataFrame([(b"%03d" % i, x, [1]) for i, x in enumerate(sets)], "uid binary, shingles array<bigint>, bands array<bigint>")
+    near = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    want = roots(150, [(i, j) for i in range(150) for j in range(i) if near(sets[i], sets[j])])
+    for direct, block in ((64, 512), (8, 16)):
+        pairs = [(int(r.a), int(r.b)) for r in paragraphs.links(units, 0.8, direct, block).collect()]
+        got = roots(150, pairs)
+        groups = lambda g: {frozenset(i for i in range(150) if g[i] == x) for x in set(g)}
+        assert groups(got) == groups(want)
