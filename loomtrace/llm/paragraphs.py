@@ -16,8 +16,13 @@ miss a pair once in 3,500. Band hashes alone are compared first, so that only pa
 Colliding paragraphs are verified by the exact Jaccard similarity of their shingles, and verified links make components;
 of a component of several paragraphs, in one document or more, the first stays and the others are removed.
 
-A band hash that very many different paragraphs share is joined block by block: each task compares two blocks, skips
-pairs that are connected already and hands on the links of a spanning forest, never all pairs.
+Under a band hash that more paragraphs share than one task should compare, they are split by prefixes: if shingles are put in one order, the rarest
+under that band first, two sets that are alike enough have one in common among the first fifth of each, exactly. A
+shingle that very many prefixes share stands for paragraphs that are mostly alike: each is compared with one of them,
+the pivot, and where all are then in one component, that is all. If not, the Jaccard distance is a metric: paragraphs
+whose distances to the pivot differ by more than the greatest distance of a link cannot be linked. So those not linked
+to the pivot meet only the rings next to their own, block by block, where a task skips pairs that are connected already
+and hands on the links of a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -30,13 +35,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, spool
 from .components import components
 from .decontam import seed_hashes, word_hashes
-from .substrings import _PACKED, _PACKED_SQL, CHUNK_BYTES, _by_bucket, _bytes, _home, _stored, _table, _unique_hashes, repeated_hashes
+from .substrings import _PACKED, _PACKED_SQL, CHUNK_BYTES, _by_bucket, _bytes, _home, _stored, _table, _unique_hashes, repeated_hashes, sizes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,14 +52,14 @@ JOIN_WORDS = 10
 STRETCH, WINDOW = 25, 25
 #: Part of a stretch in the result.
 ACROSS = -1
-#: Different paragraphs under one band hash that are joined directly; more are joined in blocks of this many.
+#: Different paragraphs under one band hash that are joined directly, and that one task compares.
 DIRECT = 64
 BLOCK = 512
 
 _SENTENCE = re.compile(rb"(?<=[.!?])[\"')\]]*[\x20\x09-\x0D]+")
 _MULTIPLIERS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_FIELDS = [("uid", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("paragraph", pa.int32()), ("part", pa.int32()), ("begin", pa.int32()), ("n_words", pa.int32()), ("shingles", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
-_FIELDS_SQL = "uid string, doc_id long, row long, paragraph int, part int, begin int, n_words int, shingles array<bigint>, bands array<bigint>"
+_FIELDS = [("uid", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("paragraph", pa.int32()), ("part", pa.int32()), ("begin", pa.int32()), ("n_words", pa.int32()), ("shingles", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
+_FIELDS_SQL = "uid binary, doc_id long, row long, paragraph int, part int, begin int, n_words int, shingles array<bigint>, bands array<bigint>"
 
 
 def paragraphs(text: str | None, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int, list[bytes]]]:
@@ -269,13 +274,13 @@ def _colliding(docs: pa.Table, replies: pa.Table, n: int, min_words: int, long_w
     ids, rows = docs.column("doc_id").to_pylist(), docs.column("row").to_pylist()
     out, told = [], set()
     for k in np.flatnonzero(hit.any(axis=1)).tolist():
-        r, uid = found.row[k], xxhash.xxh3_128_hexdigest(found.joined[k])
+        r, uid = found.row[k], xxhash.xxh3_128_digest(found.joined[k])
         first = uid not in told
         told.add(uid)
         out.append((uid, ids[r], rows[r], *found.place[k], found.size[k], np.unique(found.shingles[k].view(np.int64)) if first else None, found.bands[k][hit[k]].view(np.int64) if first else None))
     for k in np.flatnonzero(comes_again[found.bands.size :]).tolist():
         r, line, begin, size, joined = found.stretches[k]
-        out.append(("s" + xxhash.xxh3_128_hexdigest(joined), ids[r], rows[r], line, ACROSS, begin, size, None, None))
+        out.append((b"s" + xxhash.xxh3_128_digest(joined), ids[r], rows[r], line, ACROSS, begin, size, None, None))
     return _table(out, schema)
 
 
@@ -285,9 +290,9 @@ def similarity(a: set[int], b: set[int]) -> float:
 
 
 def _linked_in_blocks(p: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links of a spanning forest among the paragraphs of two blocks (or of one)."""
+    """Links of a spanning forest among the paragraphs of two sides (or of one), over the components known before."""
     p = p.sort_values("uid")
-    uids, blocks, sets = p["uid"].tolist(), p["block"].tolist(), [set(x) for x in p["shingles"]]
+    uids, sides, sets = p["uid"].tolist(), p["side"].tolist(), [set(x) for x in p["shingles"]]
     parent = list(range(len(uids)))
 
     def root(i: int) -> int:
@@ -295,55 +300,123 @@ def _linked_in_blocks(p: pd.DataFrame, least: float) -> pd.DataFrame:
             parent[i] = i = parent[parent[i]]
         return i
 
+    first: dict[bytes, int] = {}
+    for i, c in enumerate(p["component"]):
+        parent[i] = first.setdefault(c, i)
     out = []
-    same = len(set(blocks)) == 1
+    same = len(set(sides)) == 1
     for i in range(len(uids)):
         for j in range(i):
-            if (same or blocks[i] != blocks[j]) and root(i) != root(j) and similarity(sets[i], sets[j]) >= least:
+            if (same or sides[i] != sides[j]) and root(i) != root(j) and similarity(sets[i], sets[j]) >= least:
                 parent[root(i)] = root(j)
                 out.append((uids[i], uids[j]))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def _common(a: str, b: str) -> Column:
+    """The Jaccard similarity of two arrays without repeats."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def _near_pairs(rows: DataFrame, keys: list[str], sets: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` among the paragraphs (``uid``) of ``rows`` with the same ``keys``."""
+    pairs = rows.alias("x").join(rows.alias("y"), keys).where("x.uid > y.uid").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.where(_common("sa", "sb") >= least).select("a", "b")
+
+
+def _rare_first(many: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``band, token, uid``: the prefix of each paragraph under each of its bands, the band's rarest shingles first, as
+    far as others under the band have them."""
+    held = many.join(sets, "uid").select("band", "uid", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    often = held.groupBy("band", "token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    place = F.row_number().over(Window.partitionBy("band", "uid").orderBy(F.coalesce("f", F.lit(1)), "token"))
+    ranked = held.join(often, ["band", "token"], "left").withColumn("place", place)
+    return ranked.where(F.col("f").isNotNull() & (F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1)).select("band", "token", "uid")
+
+
+def _around_pivots(prefix: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
+    """``band, token, n, uid, pivot, alike``: each paragraph with a prefix under a key of ``large`` (``band, token, n,
+    pivot``), with its similarity to the pivot."""
+    key = ["band", "token"]
+    pivots = large.join(sets.withColumnRenamed("uid", "pivot"), "pivot").select(*key, "n", "pivot", F.col("shingles").alias("sp"))
+    return prefix.join(pivots, key).join(sets, "uid").select(*key, "n", "uid", "pivot", _common("shingles", "sp").alias("alike"))
+
+
+def _between_rings(member: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """Links between components of ``member`` (``band, token, n, uid, alike, component``) that share a hot shingle."""
+    key = ["band", "token"]
+    # Rings of distance to the pivot, as wide as a link is long: only neighbours can hold both ends of one.
+    ring = F.floor((1 - F.col("alike")) / (1 - least) + 1e-9).cast("int")
+    placed = member.withColumn("ring", ring).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    inner = F.transform(every, lambda x: F.struct(F.col("ring").alias("low"), F.col("ring").alias("high"), F.least("own", x).alias("i"), F.greatest("own", x).alias("j"), F.col("own").alias("side")))
+    upper = F.transform(every, lambda x: F.struct(F.col("ring").alias("low"), (F.col("ring") + 1).alias("high"), F.col("own").alias("i"), x.alias("j"), F.lit(0).alias("side")))
+    lower = F.transform(every, lambda x: F.struct((F.col("ring") - 1).alias("low"), F.col("ring").alias("high"), x.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
+    # All of the first ring are linked to the pivot; they meet the next ring only.
+    meetings = F.when(F.col("ring") > 0, F.concat(inner, upper, lower)).otherwise(upper)
+    cells = placed.select(*key, "uid", "component", F.explode(meetings).alias("m")).select(*key, "uid", "component", "m.*")
+
+    def joined(p: pd.DataFrame) -> pd.DataFrame:
+        return _linked_in_blocks(p, least)
+
+    return cells.join(sets, "uid").groupBy(*key, "low", "high", "i", "j").applyInPandas(joined, "a binary, b binary")
+
+
 def links(units: DataFrame, least: float = SIMILARITY, direct: int = DIRECT, block: int = BLOCK) -> DataFrame:
-    """Verified links ``a, b`` between different paragraphs (``uid, shingles, bands``) that share a band hash.
+    """Links ``a, b`` between paragraphs (``uid, shingles, bands``) that make the components of all verified links
+    between those that share a band hash.
 
-    Under a band hash of more than ``direct`` paragraphs, links of a spanning forest stand for all.
+    Up to ``direct`` paragraphs under a band hash are compared in pairs, up to ``block`` in one task that skips pairs
+    connected already. Of more, not all links are made: the components of those that are found first stand for them,
+    each as links to its least paragraph, and links between components are added.
     """
     rows = units.select("uid", F.explode(F.array_distinct("bands")).alias("band"))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(rows.join(sizes, "band"))
-    few = shared.where(F.col("n") <= direct).select("band", "uid")
-    pairs = few.alias("x").join(few.alias("y"), "band").where("x.uid > y.uid").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    shared = cut(rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
     sets = units.select("uid", "shingles")
-    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = both.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    many = shared.where(F.col("n") > direct).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    met = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "uid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def joined(p: pd.DataFrame) -> pd.DataFrame:
         return _linked_in_blocks(p, least)
 
-    far = met.join(sets, "uid").groupBy("band", "i", "j").applyInPandas(joined, "a string, b string")
-    return near.union(far)
+    pairs = _near_pairs(shared.where(F.col("n") <= direct).select("band", "uid"), ["band"], sets, least)
+    alone = shared.where((F.col("n") > direct) & (F.col("n") <= block)).join(sets, "uid").select("band", "uid", "shingles", F.lit(0).alias("side"), F.col("uid").alias("component"))
+    near = pairs.union(alone.groupBy("band").applyInPandas(joined, "a binary, b binary"))
+    many = shared.where(F.col("n") > block).select("band", "uid")
+    if many.isEmpty():
+        return near
+    key = ["band", "token"]
+    prefix = cut(_rare_first(many, sets, least))
+    # Stored, so that joins read two plain shuffles, which are split where one key has very many rows.
+    groups = cut(prefix.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("pivot")).where("n > 1"))
+    few = groups.where(F.col("n") <= direct).select(*key)
+    met = cut(_around_pivots(prefix, groups.where(F.col("n") > direct), sets))
+    star = met.where((F.col("uid") != F.col("pivot")) & (F.col("alike") >= least)).select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
+    known = components(near.union(_near_pairs(prefix.join(few, key), key, sets, least)).union(star))
+    found = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    member = met.join(known.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    apart = member.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(*key)
+    member = cut(member.join(apart, key))
+    return found if member.isEmpty() else found.union(_between_rings(member, sets, least, block))
 
 
 def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, chunk_bytes: int = CHUNK_BYTES, across: bool = False) -> DataFrame:
     """The paragraphs that repeat, in several documents or in one, one row per occurrence.
 
     ``docs`` has ``doc_id, text``; other columns are not read. Returns ``doc_id, paragraph`` (line), ``part`` (sentence
-    of a long line), ``begin`` (words of the document before), ``n_words, cluster, first_doc_id`` and ``removed``, false for the first occurrence of a cluster in
-    the order of doc_id, row and place, and ``across_documents``, whether the cluster spans several. With ``across``, repeated stretches have rows too, with ``ACROSS`` as part, the line
-    they begin in and clusters of their own. Documents without such a paragraph have no row.
+    of a long line), ``begin`` (words of the document before), ``n_words, cluster, first_doc_id``, ``removed``, false for
+    the first occurrence of a cluster in the order of doc_id, row and place, ``n_removed``, its words if it is removed,
+    else 0, and ``across_documents``, whether the cluster spans several. With ``across``, repeated stretches have rows
+    too, with ``ACROSS`` as part, the line they begin in and clusters of their own. Documents without such a paragraph
+    have no row.
 
     A joined paragraph has the place of its first line or sentence. Fewer than ``min_words`` words have no shingle and make
     no paragraph: null and empty texts have none; repeated rows are documents of their own; null ids come last; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // chunk_bytes))
-    chunks = _stored(docs, n, max(1, -(-n // 3))).groupBy("chunk")
+    n_chunks, buckets, n = sizes(total, chunk_bytes)
+    chunks = _stored(docs, n_chunks, buckets).groupBy("chunk")
 
     def step1(t: pa.Table) -> pa.Table:
         return _send(t, n, min_words, long_words, across)
@@ -360,7 +433,10 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WO
     end = F.col("begin") + F.col("n_words")
     heads = member.groupBy("cluster").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high"), F.max("begin").alias("latest"), F.min(end).alias("earliest"))
     # In one document, at least two occurrences must lie apart.
-    heads = heads.where("low < high or latest >= earliest").select("cluster", "first", (F.col("low") < F.col("high")).alias("across_documents"))
+    # Stored, so that the join reads two plain shuffles, which are split where one cluster has very many rows.
+    heads = cut(heads.where("low < high or latest >= earliest").select("cluster", "first", (F.col("low") < F.col("high")).alias("across_documents")))
     # Stretches may overlap: one that shares words with the first, in its document, is not removed.
     apart = (F.col("row") != F.col("first.row")) | (F.col("begin") >= F.col("first.begin") + F.col("first.n_words"))
-    return member.join(heads, "cluster").select("doc_id", "paragraph", "part", "begin", "n_words", "cluster", F.col("first.doc_id").alias("first_doc_id"), apart.alias("removed"), "across_documents")
+    out = member.join(heads, "cluster").withColumn("removed", apart)
+    n_removed = F.when(F.col("removed"), F.col("n_words")).otherwise(0).cast("long")
+    return out.select("doc_id", "paragraph", "part", "begin", "n_words", F.lower(F.hex("cluster")).alias("cluster"), F.col("first.doc_id").alias("first_doc_id"), "removed", n_removed.alias("n_removed"), "across_documents")
