@@ -336,12 +336,11 @@ def _rare_first(many: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return ranked.where(F.col("f").isNotNull() & (F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1)).select("band", "token", "uid")
 
 
-def _around_pivots(prefix: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
-    """``band, token, n, uid, pivot, alike``: each paragraph with a prefix under a key of ``large`` (``band, token, n,
-    pivot``), with its similarity to the pivot."""
+def _around_pivots(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """``large`` (``band, token, n, uid, pivot``) with ``alike``, the similarity of each paragraph to its key's pivot."""
     key = ["band", "token"]
-    pivots = large.join(sets.withColumnRenamed("uid", "pivot"), "pivot").select(*key, "n", "pivot", F.col("shingles").alias("sp"))
-    return prefix.join(pivots, key).join(sets, "uid").select(*key, "n", "uid", "pivot", _common("shingles", "sp").alias("alike"))
+    pivots = large.where("uid = pivot").select(*key, "pivot").join(sets.withColumnRenamed("uid", "pivot"), "pivot").select(*key, F.col("shingles").alias("sp"))
+    return large.join(pivots, key).join(sets, "uid").select(*key, "n", "uid", "pivot", _common("shingles", "sp").alias("alike"))
 
 
 def _between_rings(member: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
@@ -387,12 +386,13 @@ def links(units: DataFrame, least: float = SIMILARITY, direct: int = DIRECT, blo
         return near
     key = ["band", "token"]
     prefix = cut(_rare_first(many, sets, least))
-    # Stored, so that joins read two plain shuffles, which are split where one key has very many rows.
+    # Stored, so that the join reads two plain shuffles, which are split where one key has very many rows.
     groups = cut(prefix.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("pivot")).where("n > 1"))
-    few = groups.where(F.col("n") <= direct).select(*key)
-    met = cut(_around_pivots(prefix, groups.where(F.col("n") > direct), sets))
+    counted = cut(prefix.join(groups, key))
+    few = counted.where(F.col("n") <= direct)
+    met = cut(_around_pivots(counted.where(F.col("n") > direct), sets))
     star = met.where((F.col("uid") != F.col("pivot")) & (F.col("alike") >= least)).select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
-    known = components(near.union(_near_pairs(prefix.join(few, key), key, sets, least)).union(star))
+    known = components(near.union(_near_pairs(few.select(*key, "uid"), key, sets, least)).union(star))
     found = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     member = met.join(known.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     apart = member.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(*key)
