@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut, shared_dir
 
-__all__ = ["WORD", "crc_of_id", "cut", "n_words", "shared_dir", "spool", "table", "uniform", "unused"]
+__all__ = ["WORD", "crc_of_id", "cut", "n_words", "release", "shared_dir", "spool", "table", "uniform", "unused"]
 
 #: Words of the corpus are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Where stored tables lie.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def spool(df: DataFrame) -> DataFrame:
@@ -21,8 +24,20 @@ def spool(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return at_path(spark.read.schema(df.schema).parquet(path), path)
+
+
+def at_path(df: DataFrame, path: str) -> DataFrame:
+    """``df``, known to be stored at ``path``, which is removed at exit."""
+    atexit.register(_remove, df.sparkSession, path)
+    _PATHS[df] = path
+    return df
+
+
+def release(*stored: DataFrame) -> None:
+    """Remove the files of stored tables that nothing still to run reads."""
+    for df in stored:
+        _remove(df.sparkSession, _PATHS.pop(df))
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, spool
+from .common import cut, release, spool
 from .components import components
 from .decontam import seed_hashes, word_hashes
 from .substrings import _PACKED, _PACKED_SQL, CHUNK_BYTES, _by_bucket, _bytes, _home, _stored, _table, _unique_hashes, repeated_hashes, sizes
@@ -416,7 +416,8 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WO
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks, buckets, n = sizes(total, chunk_bytes)
-    chunks = _stored(docs, n_chunks, buckets).groupBy("chunk")
+    stored = _stored(docs, n_chunks, buckets)
+    chunks = stored.groupBy("chunk")
 
     def step1(t: pa.Table) -> pa.Table:
         return _send(t, n, min_words, long_words, across)
@@ -426,8 +427,11 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, min_words: int = MIN_WO
 
     replies = spool(chunks.applyInArrow(step1, _PACKED_SQL).groupBy("kind", "bucket").applyInArrow(repeated_hashes, _PACKED_SQL))
     found = spool(chunks.cogroup(replies.groupBy("chunk")).applyInArrow(step2, _FIELDS_SQL))
+    # Of what is stored, the result reads only what is found and its clusters.
+    release(stored, replies)
     units = spool(found.where("shingles is not null").groupBy("uid").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
     joined = components(links(units, least))
+    release(units)
     member = found.drop("shingles", "bands").join(joined.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("cluster", F.coalesce("component", "uid")).drop("component")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "paragraph", "part", "begin", "n_words")
     end = F.col("begin") + F.col("n_words")

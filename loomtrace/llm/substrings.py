@@ -21,7 +21,6 @@ of text. What chunks send each other are packed arrays.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import uuid
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _remove, shared_dir, spool
+from .common import at_path, shared_dir, spool
 from .suffixes import repeated_windows
 
 K = 100
@@ -506,8 +505,7 @@ def _stored(docs: DataFrame, n_chunks: int, n_buckets: int) -> DataFrame:
     # Equal ids with equal texts would meet in one chunk, so the row is part of the deal.
     rows = rows.withColumn("chunk", _hashed_to(F.pmod(F.xxhash64("doc_id", "row"), F.lit(n_chunks))))
     rows.repartition(n_buckets, "chunk").write.bucketBy(n_buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
-    atexit.register(_remove, spark, path)
-    out = spark.table(name)
+    out = at_path(spark.table(name), path)
     # The catalog forgets the table at once, so that no name is left if the driver is lost; the plan keeps its files.
     spark.sql(f"drop table {name}")
     return out

@@ -226,6 +226,21 @@ def test_paragraphs(spark, monkeypatch):
     assert paragraphs.repeated(docs.limit(0)).count() == 0
 
 
+def test_stored_texts_leave_before_the_result(spark):
+    """Texts, messages and shingles are out of the shared folder before rows are read; reading twice is safe."""
+    from pathlib import Path
+
+    from loomtrace.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    stored = lambda: {p.name for p in folder.iterdir() if p.name.startswith(("chunks_", "spool-"))}
+    before = stored()
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(20)], "doc_id long, text string")
+    out = paragraphs.repeated(docs, across=True)
+    assert len(stored() - before) == 1
+    assert sorted(out.collect()) == sorted(out.collect()) and {r.doc_id for r in out.collect() if r.part != paragraphs.ACROSS} == set(range(20))
+
+
 def test_short_lines_are_compared(spark):
     """Lines of five to nine words, and passages wrapped at fewer than five words a line."""
     poem = "\n".join(f"p{i} q{i} r{i}" for i in range(20))
