@@ -165,6 +165,23 @@ def test_substrings(spark, monkeypatch, k, per_shard, most):
     assert sorted(map(tuple, got), key=str) == brute_substrings(rows, k)
 
 
+@pytest.mark.parametrize("ways", [(32, 1024), (1, 1024), (1, 1)])
+def test_strings_of_hot_anchors_are_not_rows(spark, monkeypatch, ways):
+    """A phrase in very many different places: what is stored grows with documents, not with their strings."""
+    monkeypatch.setattr(substrings, "FAR_WAYS", ways[0], raising=False)
+    monkeypatch.setattr(substrings, "NEAR_WAYS", ways[1], raising=False)
+    monkeypatch.setattr(substrings.sort_shard, "__defaults__", (3000,))
+    stored = []
+    monkeypatch.setattr(substrings, "spool", lambda df, spool=substrings.spool: stored.append(spool(df)) or stored[-1])
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choices("abcd", k=n))
+    phrase, tails = some(70), [some(60) for _ in range(12)]
+    rows = [(i, some(90) + phrase + rng.choice([some(60), rng.choice(tails)[: rng.randint(20, 60)] + some(40)])) for i in range(150)]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=6000, pieces_per_shard=4).collect()
+    assert sorted(map(tuple, got), key=str) == brute_substrings(rows, substrings.K)
+    assert 0 < max(df.count() for df in stored) < 10 * len(rows)
+
+
 def test_substrings_of_empty_table(spark):
     assert substrings.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
