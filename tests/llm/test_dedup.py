@@ -165,23 +165,53 @@ def test_substrings(spark, monkeypatch, k, per_shard, most):
     assert sorted(map(tuple, got), key=str) == brute_substrings(rows, k)
 
 
-@pytest.mark.parametrize("ways", [(32, 1024), (1, 1024), (1, 1)])
-def test_strings_of_hot_anchors_are_not_rows(spark, monkeypatch, ways):
-    """A phrase in very many different places: what is stored grows with documents, not with their strings."""
-    monkeypatch.setattr(substrings, "FAR_WAYS", ways[0], raising=False)
-    monkeypatch.setattr(substrings, "NEAR_WAYS", ways[1], raising=False)
-    monkeypatch.setattr(substrings.sort_shard, "__defaults__", (3000,))
-    stored = []
-    monkeypatch.setattr(substrings, "spool", lambda df, spool=substrings.spool: stored.append(spool(df)) or stored[-1])
+def phrase_in_many_places():
     rng = random.Random(5)
     some = lambda n: "".join(rng.choices("abcd", k=n))
     phrase, tails = some(70), [some(60) for _ in range(12)]
-    rows = [(i, some(90) + phrase + rng.choice([some(60), rng.choice(tails)[: rng.randint(20, 60)] + some(40)])) for i in range(150)]
+    return [(i, some(90) + phrase + rng.choice([some(60), rng.choice(tails)[: rng.randint(20, 60)] + some(40)])) for i in range(150)]
+
+
+def test_strings_of_hot_anchors_are_not_rows(spark, monkeypatch):
+    """A phrase in very many different places: what is stored grows with documents, not with their strings."""
+    stored = []
+    monkeypatch.setattr(substrings, "spool", lambda df, spool=substrings.spool: stored.append(spool(df)) or stored[-1])
+    rows = phrase_in_many_places()
     got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=6000, pieces_per_shard=4).collect()
     assert sorted(map(tuple, got), key=str) == brute_substrings(rows, substrings.K)
     assert 0 < max(df.count() for df in stored) < 10 * len(rows)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 3000])
+@pytest.mark.parametrize(("ways", "used"), [((64, 1024), {16}), ((32, 1024), {16, 4}), ((1, 1024), {4}), ((1, 1), {1})])
+def test_steps_with_places_near_and_far(monkeypatch, ways, used, most):
+    """The steps in this process, where limits can be set: workers import the module anew."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    monkeypatch.setattr(substrings, "FAR_WAYS", ways[0], raising=False)
+    monkeypatch.setattr(substrings, "NEAR_WAYS", ways[1], raising=False)
+    steps = []
+    if hasattr(substrings, "_cut_about_places"):
+        cut = substrings._cut_about_places
+        monkeypatch.setattr(substrings, "_cut_about_places", lambda *x: steps.append(x[-1]) or cut(*x))
+    rows, n, k = phrase_in_many_places(), 5, substrings.K
+    chunks = []
+    for c in range(n):
+        own = [(d, d, d, t, c) for d, t in rows if d % n == c]
+        chunks.append(pa.table(dict(zip(("doc_id", "doc_key", "row", "text", "chunk"), map(list, zip(*own, strict=True)), strict=True))))
+    by = lambda t, *keys: [t.filter(pc.and_(*[pc.equal(t[x], v) for x, v in zip(keys, key, strict=True)]) if len(keys) > 1 else pc.equal(t[keys[0]], key[0])) for key in sorted({tuple(r[x] for x in keys) for r in t.to_pylist()})]
+    answers = pa.concat_tables([substrings.repeated_hashes(x) for x in by(pa.concat_tables([substrings.send_hashes(c, k, n) for c in chunks]), "kind", "bucket")])
+    of = lambda t, c, key="chunk": t.filter(pc.equal(t[key], c))
+    sent = pa.concat_tables([substrings.send_pieces(x, of(answers, c), k, n) for c, x in enumerate(chunks)])
+    answers = pa.concat_tables([answers, *[substrings.compare_pieces(x, 4) for x in by(sent, "kind", "bucket")]])
+    judged = pa.concat_tables([substrings.judge_chunk(x, of(answers, c), k, n, n) for c, x in enumerate(chunks)])
+    marks = pa.concat_tables([of(judged, 0, "kind"), *[substrings.sort_shard(x, k, most) for x in by(of(judged, 1, "kind"), "key")]])
+    got = [r for c, x in enumerate(chunks) for r in substrings.apply_marks(x, of(marks, c, "key"), False).drop_columns("kept").to_pylist()]
+    assert sorted((tuple(r.values()) for r in got), key=str) == brute_substrings(rows, k)
+    assert set(steps) == used
+
+
 def test_substrings_of_empty_table(spark):
     assert substrings.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
